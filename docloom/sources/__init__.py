@@ -1,0 +1 @@
+"""Folders, manifests and tables as sources of records."""
