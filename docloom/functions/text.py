@@ -31,12 +31,15 @@ COMMON = {
 }
 
 
-@F.pandas_udf("string")
-def _decoded(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+def _decoded(text: Column) -> Column:
     from docloom.sources.formats.base import unescaped
 
-    for texts in batches:
-        yield texts.map(lambda t: None if t is None else unescaped(t))
+    @F.pandas_udf("string")
+    def decode(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for texts in batches:
+            yield texts.map(lambda t: None if t is None else unescaped(t))
+
+    return decode(text)
 
 
 def entities_decoded(text: Column) -> Column:
