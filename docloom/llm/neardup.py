@@ -29,6 +29,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -41,6 +42,8 @@ BANDS, BAND_ROWS = 32, 3
 BINS = BANDS * BAND_ROWS
 #: Keys of candidate texts are broadcast up to so many; beyond, texts are joined by shuffle.
 MOST_BROADCAST = 1_000_000
+#: Texts of pairs that are compared at once have about so many bytes.
+VERIFY_BYTES = 1_000_000
 _EMPTY = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
@@ -133,21 +136,29 @@ def _row_key(id_col: str, text_col: str):
     return F.xxhash64(F.col(f"`{id_col}`"), F.col(f"`{text_col}`"))
 
 
+def _own_sets(column: pa.Array) -> list[np.ndarray]:
+    data, offsets = wordvec.buffers(column)
+    values, first = sets(data, offsets)
+    return np.split(values, first[1:-1])
+
+
 def _verify(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
+    """Those pairs (a, b, text of a, text of b) whose full sets are alike enough. Pairs in a row with the same b hash its text once."""
+    last, last_set = None, np.zeros(0, np.uint64)
     for batch in batches:
-        sides = []
-        for column in (batch.column(2), batch.column(3)):
-            data, offsets = wordvec.buffers(column)
-            own: list[np.ndarray] = []
-            for a, b in wordvec.runs(offsets):
-                values, first = sets(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
-                own += np.split(values, first[1:-1])
-            sides.append(own)
-        linked = []
-        for x, y in zip(*sides):
-            both = int(np.isin(x, y, assume_unique=True, kind="sort").sum()) if len(x) and len(y) else 0
-            linked.append(both > 0 and 100 * both >= percent * (len(x) + len(y) - both))
-        mask = pa.array(linked, pa.bool_())
+        ends = np.cumsum(np.concatenate([[0], pc.add(pc.binary_length(batch.column(2)), pc.binary_length(batch.column(3))).to_numpy()]))
+        linked = np.zeros(batch.num_rows, bool)
+        for first, end in wordvec.runs(ends, VERIFY_BYTES):
+            part = batch.slice(first, end - first)
+            keys = part.column(1).to_pylist()
+            new = [k for k, key in enumerate(keys) if key != (keys[k - 1] if k else last)]
+            sets_b = iter(_own_sets(part.column(3).take(pa.array(new, pa.int64()))) if new else ())
+            for k, x in enumerate(_own_sets(part.column(2))):
+                if keys[k] != last:
+                    last, last_set = keys[k], next(sets_b)
+                both = int(np.isin(x, last_set, assume_unique=True, kind="sort").sum()) if len(x) and len(last_set) else 0
+                linked[first + k] = both > 0 and 100 * both >= percent * (len(x) + len(last_set) - both)
+        mask = pa.array(linked)
         yield pa.RecordBatch.from_arrays([batch.column(0).filter(mask), batch.column(1).filter(mask)], names=["a", "b"])
 
 
