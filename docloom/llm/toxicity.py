@@ -3,7 +3,7 @@
 Voters look at a text: terms of a seed lexicon and of a lexicon induced from the training
 rows (words and word beginnings that labelled toxic texts have and others lack), and
 patterns (several different terms, their density, direct address, shouting, masked
-letters, none of all terms). A generative label model gives each voter a rate of each vote
+letters, none of all terms); who labelled the training rows is one voter more. A generative label model gives each voter a rate of each vote
 for toxic and for clean texts and estimates them with the texts' posteriors by expectation
 and maximization; what two voters share beyond what the class explains is their
 correlation, and correlated voters count for less. A linear classifier over the terms of
@@ -34,7 +34,9 @@ from docloom.llm import folds, scratch, wordvec
 PER_LABEL = 3000
 VOCABULARY, VOTERS = 20_000, 256
 #: A term is in the vocabulary if so many texts of the sample have it.
-LEAST_TEXTS = 4
+LEAST_TEXTS = 3
+#: An induced term stands for toxic texts in this share of the labelled texts that have it.
+SURE = 0.7
 PREFIXES = (4, 5)
 SEEDS = (
     "idiot idiots moron morons stupid pathetic worthless disgusting scum trash loser losers clown dumb imbecile fool jerk "
@@ -97,12 +99,12 @@ class LabelModel:
     correlation: np.ndarray
 
     @staticmethod
-    def of(votes: np.ndarray, weights: np.ndarray, prior: float, rounds: int = 25) -> LabelModel:
-        """votes: texts x voters, of -1, 0 and 1. The prior stays as given; all else is estimated without labels."""
+    def of(votes: np.ndarray, weights: np.ndarray, prior: float, start: np.ndarray | None = None, rounds: int = 25) -> LabelModel:
+        """votes: texts x voters, of -1, 0 and 1. The prior stays as given; all else is estimated, from posteriors to start with or a majority."""
         n, m = votes.shape
         w = weights / weights.sum() if n else weights
         share = (votes == 1).sum(1) - 2.0 * (votes == -1).sum(1)
-        posterior = np.where(share > 0, 0.95, np.where(share < 0, 0.02, prior))
+        posterior = np.where(share > 0, 0.95, np.where(share < 0, 0.02, prior)) if start is None else start
         flags = np.stack([votes == -1, votes == 0, votes == 1], 2).astype(np.float64)
         discount, correlation = np.ones(m), np.zeros((m, m))
         rates = np.full((2, m, 3), 1 / 3)
@@ -155,8 +157,8 @@ class Classifier:
         return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
-def fit_linear(row: np.ndarray, term: np.ndarray, n: int, m: int, target: np.ndarray, weights: np.ndarray, *, decay: float = 2e-5, steps: int = 300) -> tuple[np.ndarray, float]:
-    """Logistic regression on soft targets over presence of terms, by Adam over all rows."""
+def fit_linear(row: np.ndarray, term: np.ndarray, n: int, m: int, target: np.ndarray, weights: np.ndarray, *, sparse: float = 1e-4, steps: int = 400) -> tuple[np.ndarray, float]:
+    """Logistic regression on soft targets over presence of terms, by proximal Adam over all rows; sparse is the weight of the sum of absolute values."""
     w, b = np.zeros(m), 0.0
     weight = weights / weights.sum()
     share = float(np.clip((weight * target).sum(), 1e-3, 1 - 1e-3))
@@ -165,11 +167,13 @@ def fit_linear(row: np.ndarray, term: np.ndarray, n: int, m: int, target: np.nda
     for k in range(1, steps + 1):
         z = b + np.bincount(row, w[term], n)
         d = (1 / (1 + np.exp(-z)) - target) * weight
-        g = np.bincount(term, d[row], m) + decay * w
+        g = np.bincount(term, d[row], m)
         gb = float(d.sum())
         m1, m2, c1, c2 = 0.9 * m1 + 0.1 * g, 0.99 * m2 + 0.01 * g * g, 0.9 * c1 + 0.1 * gb, 0.99 * c2 + 0.01 * gb * gb
         rate = 0.1 * (0.5 + 0.5 * np.cos(np.pi * k / steps)) + 1e-3
-        w -= rate * (m1 / (1 - 0.9**k)) / (np.sqrt(m2 / (1 - 0.99**k)) + 1e-9)
+        step = rate / (np.sqrt(m2 / (1 - 0.99**k)) + 1e-6)
+        w -= step * (m1 / (1 - 0.9**k))
+        w = np.sign(w) * np.maximum(np.abs(w) - step * sparse, 0)
         b -= rate * (c1 / (1 - 0.9**k)) / (np.sqrt(c2 / (1 - 0.99**k)) + 1e-9)
     return w, b
 
@@ -202,6 +206,19 @@ def voters(row: np.ndarray, term: np.ndarray, n: int, lexicon: np.ndarray, n_wor
     return votes
 
 
+def _spread(ranked: list[int], common: set[int], row: np.ndarray, term: np.ndarray) -> list[int]:
+    """The ranked terms and the common ones, but none whose texts are nearly all among those of one before it."""
+    order = np.argsort(term, kind="stable")
+    first = np.searchsorted(term[order], np.arange((int(term.max()) if len(term) else -1) + 2))
+    texts = lambda k: set(row[order[first[k] : first[k + 1]]].tolist())
+    chosen: list[tuple[int, set[int]]] = []
+    for k in [*ranked, *sorted(common - set(ranked))]:
+        own = texts(k)
+        if own and len(chosen) < VOTERS and all(len(own & other) < 0.9 * len(own) for _, other in chosen):
+            chosen.append((k, own))
+    return [k for k, _ in chosen]
+
+
 def trained(docs: DataFrame, labels: DataFrame, *, label_col: str = "toxic", folds_: int = 4, held_out: int = 2, per_label: int = PER_LABEL) -> tuple[Classifier, LabelModel | None]:
     sample, weights = folds.sampled(docs, labels, label_col, folds=folds_, held_out=held_out, per_label=per_label)
     seeds = seed_hashes()
@@ -238,15 +255,17 @@ def trained(docs: DataFrame, labels: DataFrame, *, label_col: str = "toxic", fol
     place = {int(t): k for k, t in enumerate(order)}
     mean = (pos.sum() + 1) / (pos.sum() + neg.sum() + 2)
     surety = (pos + 2 * mean) / (pos + neg + 2)
-    toxic = np.flatnonzero((surety > 0.6) & (vocabulary["pos"].to_numpy() >= LEAST_TEXTS))
-    toxic = toxic[np.argsort(-vocabulary["pos"].to_numpy()[toxic], kind="stable")][:VOTERS]
-    lexicon = [place[int(known[k])] for k in toxic]
-    lexicon += [place[int(s)] for s in seeds.view(np.int64) if int(s) in place and place[int(s)] not in lexicon and pos[np.flatnonzero(known == s)[0]] >= neg[np.flatnonzero(known == s)[0]]]
+    toxic = np.flatnonzero((surety > SURE) & (vocabulary["pos"].to_numpy() >= LEAST_TEXTS))
+    toxic = toxic[np.argsort(-vocabulary["pos"].to_numpy()[toxic], kind="stable")]
+    common = {place[int(s)] for s in seeds.view(np.int64) if int(s) in place}
+    lexicon = _spread([place[int(known[k])] for k in toxic], common, row, term)
     if not lexicon:
         return alone, None
     votes = voters(row, term, n, np.array(lexicon), held["n_words"].to_numpy(), held["upper"].to_numpy())
     prior = float(weights[1] * (held["label"] == 1).sum() / row_weight.sum())
-    model = LabelModel.of(votes, row_weight, prior)
+    marked = np.where(held["label"].to_numpy() == 1, 1, -1).astype(np.int8)
+    votes = np.concatenate([votes, marked[:, None]], 1)  # whoever labelled the sample is a voter too, and may err
+    model = LabelModel.of(votes, row_weight, prior, np.where(marked == 1, 0.95, 0.02))
     w, b = fit_linear(row, term, n, len(order), model.posterior(votes), row_weight)
     keep = np.abs(w) > 1e-3
     return Classifier(order.view(np.uint64)[keep], w[keep], b), model
