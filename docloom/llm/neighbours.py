@@ -108,8 +108,11 @@ def search(tree: Tree, vectors: np.ndarray, ids: np.ndarray, query: np.ndarray,
         gap = vectors[rows] - query
         d = np.concatenate([best_d, (gap * gap).sum(1)])
         i = np.concatenate([best_i, ids[rows]])
-        top = np.lexsort((i, d))[:k]
-        best_d, best_i = d[top], i[top]
+        top = np.lexsort((i, d))
+        d, i = d[top], i[top]
+        new = np.ones(len(d), bool)  # a row that is there twice counts once
+        new[1:] = (d[1:] != d[:-1]) | (i[1:] != i[:-1])
+        best_d, best_i = d[new][:k], i[new][:k]
     return best_i, best_d
 
 
@@ -153,4 +156,4 @@ def nearest(vectors: DataFrame, is_query: Column, *, k: int = 10, id_col: str =
 
     met = data.groupBy("block", "group").cogroup(queries.groupBy("block", "group")).applyInPandas(find, "query_id long, vec_id long, score double")
     order = Window.partitionBy("query_id").orderBy("score", "vec_id")  # k rows a block
-    return met.distinct().withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    return met.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
