@@ -30,8 +30,8 @@ from docloom.llm import folds, wordvec
 
 CHUNK, STEP = 256, 224
 WIDTH, STRIDE, CHANNELS, FILTERS = 10, 2, 8, 64
-PER_LABEL, CHUNKS_A_TEXT = 2500, 24
-EPOCHS, BATCH, RATE, DECAY = 12, 48, 0.004, 1e-4
+PER_LABEL, CHUNKS_A_TEXT = 2500, 12
+EPOCHS, LEAST_STEPS, BATCH, RATE, DECAY = 12, 600, 48, 0.004, 1e-4
 #: Chunks that are convolved at once.
 BLOCK = 96
 
@@ -92,14 +92,16 @@ class Network:
         return mean @ self.mean + np.maximum.reduceat(chunk_features, first, 0) @ self.max_ + self.offset
 
 
-def fit(texts: list[np.ndarray], labels: np.ndarray, weights: np.ndarray, *, seed: int = 7, epochs: int = EPOCHS) -> Network:
-    """texts: each one's chunks. The loss is logistic, weighted by row."""
+def fit(texts: list[np.ndarray], labels: np.ndarray, weights: np.ndarray, *, seed: int = 7, epochs: int = EPOCHS, least_steps: int = LEAST_STEPS) -> Network:
+    """texts: each one's chunks. The loss is logistic, weighted by row. Few texts are gone through more often, for at least so many steps."""
     net, g = Network.new(seed), np.random.default_rng(seed + 1)
     share = float(np.clip((labels * weights).sum() / max(weights.sum(), 1e-9), 0.01, 0.99)) if len(labels) else 0.5
     net.offset[:] = np.log(share / (1 - share))
     first_moment = [np.zeros_like(p) for p in net.parameters()]
     second_moment = [np.zeros_like(p) for p in net.parameters()]
-    step, total = 0, epochs * max(1, -(-len(texts) // BATCH))
+    a_pass = max(1, -(-len(texts) // BATCH))
+    epochs = max(epochs, -(-least_steps // a_pass)) if len(texts) else 0
+    step, total = 0, epochs * a_pass
     for _ in range(epochs):
         order = g.permutation(len(texts))
         for a in range(0, len(order), BATCH):
@@ -163,14 +165,15 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary()), batch.column(2)], names=["_id", "chunks", "label"])
 
 
-def trained(docs: DataFrame, labels: DataFrame, *, label_col: str = "quality", folds_: int = 5, held_out: int = 0, per_label: int = PER_LABEL, seed: int = 7) -> Network:
+def trained(docs: DataFrame, labels: DataFrame, *, label_col: str = "quality", folds_: int = 5, held_out: int = 0, per_label: int = PER_LABEL, seed: int = 7, **how: int) -> Network:
+    """how: epochs and least_steps of the fit."""
     sample, weights = folds.sampled(docs, labels, label_col, folds=folds_, held_out=held_out, per_label=per_label)
     kind = sample.schema["_id"].dataType.simpleString()
     rows = sample.select("_id", "text", "label").mapInArrow(_cut, f"_id {kind}, chunks binary, label int").toPandas()  # at most 2 * per_label rows of bounded size
     rows = rows.sort_values("_id", kind="stable")
     texts = [np.frombuffer(x, np.uint8).reshape(-1, CHUNK) for x in rows["chunks"]]
     y = rows["label"].to_numpy(np.float32)
-    return fit(texts, y, np.array([weights[int(k)] for k in y], np.float32), seed=seed)
+    return fit(texts, y, np.array([weights[int(k)] for k in y], np.float32), seed=seed, **how)
 
 
 def scored(docs: DataFrame, net: Network, *, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.3) -> DataFrame:
