@@ -26,6 +26,8 @@ from docloom.llm import scratch
 WORD = r"[^\x20\x09-\x0D]+"
 #: Documents are put in the order of this many leading bits of a hash before they are ordered exactly.
 BIN_BITS = 12
+#: Sources are ranked in so many ranges at most.
+MOST_RANGES = 200
 #: A table of sources is broadcast up to so many rows; beyond, the join is by shuffle and adaptive skew splitting.
 MOST_BROADCAST = 50_000
 
@@ -57,7 +59,7 @@ def ranked(df: DataFrame, order: Column) -> DataFrame:
     """df with rank: each row's position from 0 in the global order, found without one task seeing all rows."""
     spark = df.sparkSession
     parts = scratch.written(
-        df.repartitionByRange(scratch.partitions(spark), order)
+        df.repartitionByRange(min(MOST_RANGES, scratch.partitions(spark)), order)
         .sortWithinPartitions(order)
         .select("*", F.spark_partition_id().alias("_part"), F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)).alias("_at")),
         "ranked",

@@ -24,8 +24,6 @@ block of vectors, all groups have bounded sizes, and k rows a query and block ar
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window

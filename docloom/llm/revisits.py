@@ -15,8 +15,8 @@ otherwise ``resolved``; a null time is before all others; repeated rows are each
 resolved. Header names are compared in lower case. An empty table gives no rows.
 
 Data sizes: only keys, times, validators and headers of responses are moved, not bodies.
-A URL's records are split by time into as many slices as there are shuffle partitions, at
-quantiles of all times; in a slice the latest response is found by a window, and each
+A URL's records are split by time into as many slices as there are shuffle partitions,
+256 at most, at quantiles of all times; in a slice the latest response is found by a window, and each
 slice's last response is handed on to later slices of its URL, one row a slice.
 """
 
@@ -30,6 +30,8 @@ from docloom.llm import scratch
 #: Headers that a 304 answer may update (RFC 9110, section 15.4.5; RFC 9111, section 3.2).
 PERMITTED = ("cache-control", "content-location", "date", "etag", "expires", "vary", "last-modified", "age")
 TRACKING = r"^(utm_[^=]*|ref|fbclid|gclid|session(id)?|sid)(=.*)?$"
+#: A URL's records are split by time into so many slices at most.
+MOST_SLICES = 256
 MOBILE = r"^(www|m|mobile|amp)\."
 
 
@@ -72,7 +74,7 @@ def resolved(records: DataFrame, *, slices: int | None = None) -> DataFrame:
     last_modified, digest and headers (map<string,string>); a full response has status 200.
     """
     spark = records.sparkSession
-    slices = slices or scratch.partitions(spark)
+    slices = slices or min(MOST_SLICES, scratch.partitions(spark))
     rows = records.select(
         "record_id", canonical(F.col("url")).alias("url_key"), "ts", "kind", "status", _etag(F.col("etag")).alias("etag"),
         F.trim("last_modified").alias("last_modified"), F.lower(F.trim("digest")).alias("digest"), "headers",
