@@ -4,12 +4,14 @@ Each text's set of five-word shingles is hashed once; the hash's leading part na
 of K bins and the least hash of a bin is its value. An empty bin takes the value of a bin
 that a sequence of hashes of its own number finds first (Shrivastava, 2017). Bands of
 values make buckets. A bucket is a star: its most popular member, by how many others
-share buckets with it, is compared with each other member on the full sets. Further
+share buckets with it, is compared with each other member: on one byte of each value,
+and if enough of them agree on the full sets. Further
 rounds take a new centre in each bucket whose members still lie in several components,
 until a round finds no new link.
 
 Equal sets are one node, whose members are never paired with each other. A pair at the
-threshold shares no bucket with probability (1 - 0.7**3)**32, below 2e-6.
+threshold shares no bucket with probability (1 - 0.7**3)**32, below 2e-6, and has too
+few agreeing values with one below 1e-6.
 
 Defined results: a null, empty or blank text has an empty set and is linked with nothing;
 a text of one to four words has one shingle, its whole sequence; rows with equal text and
@@ -17,8 +19,8 @@ any ids are one node; a node's least id is that of its rows that have one (a nul
 kept with component null only if no row of the component has an id); rows repeated as a
 whole get equal results. An empty table gives no rows. Other columns are ignored.
 
-Data sizes: texts are read twice; only the second reading, of texts in some bucket of two
-or more, is shuffled. Buckets are counted with partial sums and stars joined with adaptive
+Data sizes: texts are read once for their features and once a round; only texts of pairs
+whose values agree are shuffled. Buckets are counted with partial sums and stars joined with adaptive
 skew splitting, so one bucket may hold any share of all rows.
 """
 
@@ -40,6 +42,8 @@ WORDS = 5
 PERCENT = 70
 BANDS, BAND_ROWS = 32, 3
 BINS = BANDS * BAND_ROWS
+#: Pairs of sets of LARGE shingles or more are compared only if so many of the BINS values agree; at the threshold 67 do, with a deviation below 5.
+LEAST_AGREEING, LARGE = 45, 200
 #: Keys of candidate texts are broadcast up to so many; beyond, texts are joined by shuffle.
 MOST_BROADCAST = 1_000_000
 #: Texts of pairs that are compared at once have about so many bytes.
@@ -122,13 +126,14 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         data, offsets = wordvec.buffers(batch.column(2))
         for a, b in wordvec.runs(offsets):
             values, first = sets(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
-            keys = band_keys(signatures(values, first)).view(np.int64)
-            size = np.diff(first)
+            signature, size = signatures(values, first), np.diff(first)
+            keys = band_keys(signature).view(np.int64)
+            sketch = np.concatenate([(signature >> np.uint64(8)).astype(np.uint8), np.minimum(size, 255).astype(np.uint8)[:, None]], 1)
             node = [xxhash.xxh3_128_digest(values[x:y]) if y > x else None for x, y in zip(first[:-1].tolist(), first[1:].tolist())]
             lists = pa.FixedSizeListArray.from_arrays(pa.array(keys.reshape(-1)), BANDS).cast(pa.list_(pa.int64()))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0).slice(a, b - a), batch.column(1).slice(a, b - a), pa.array(size, pa.int64()), pa.array(node, pa.binary()), lists],
-                names=["doc_id", "row_key", "n_shingles", "node", "bands"],
+                [batch.column(0).slice(a, b - a), batch.column(1).slice(a, b - a), pa.array(size, pa.int64()), pa.array(node, pa.binary()), lists, pa.array(list(map(bytes, sketch)), pa.binary())],
+                names=["doc_id", "row_key", "n_shingles", "node", "bands", "sketch"],
             )
 
 
@@ -136,6 +141,15 @@ def _row_key(id_col: str, text_col: str):
     return F.xxhash64(F.col(f"`{id_col}`"), F.col(f"`{text_col}`"))
 
 
+def _plausible(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Those pairs (a, b, sketch of a, sketch of b) that may be alike enough."""
+    for batch in batches:
+        x, y = (np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint8).reshape(batch.num_rows, BINS + 1) for k in (2, 3))
+        small = np.minimum(x[:, BINS], y[:, BINS]) < LARGE
+        mask = pa.array(small | ((x[:, :BINS] == y[:, :BINS]).sum(1) >= LEAST_AGREEING))
+        yield pa.RecordBatch.from_arrays([batch.column(0).filter(mask), batch.column(1).filter(mask)], names=["a", "b"])
+
+
 def _own_sets(column: pa.Array) -> list[np.ndarray]:
     data, offsets = wordvec.buffers(column)
     values, first = sets(data, offsets)
@@ -199,21 +213,35 @@ def _semi(left: DataFrame, keys: DataFrame, on: str) -> DataFrame:
     return left.join(keys, on, "left_semi")
 
 
+def _few(df: DataFrame) -> DataFrame:
+    """df, marked to be sent to all tasks if it has at most MOST_BROADCAST rows."""
+    return F.broadcast(df) if df.limit(MOST_BROADCAST + 1).count() <= MOST_BROADCAST else df
+
+
 def links(docs: DataFrame, feats: DataFrame, *, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
     """Verified links (a, b) between nodes, and the label of each node that has one."""
     spark = docs.sparkSession
-    nodes = feats.where("n_shingles > 0").groupBy("node").agg(F.min("row_key").alias("row_key"), F.first("bands").alias("bands"))
+    nodes = feats.where("n_shingles > 0").groupBy("node").agg(F.min("row_key").alias("row_key"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch"))
     nodes = scratch.written(nodes, "near-nodes")
     members = nodes.select("node", F.explode("bands").alias("key"))
     shared = members.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
     members = scratch.written(members.join(shared, "key"), "near-members")
     popular = members.groupBy("node").agg(F.sum("n").alias("pop"))
-    members = scratch.written(members.select("key", "node").join(popular, "node"), "near-popular")
-    texts = _semi(nodes.select("row_key", "node"), members, "node").select("row_key", "node")
-    texts = scratch.written(texts, "near-keys")
-    source = docs.select(_row_key(id_col, text_col).alias("row_key"), F.col(f"`{text_col}`").cast("string").alias("text"))
-    source = _semi(source, texts, "row_key").groupBy("row_key").agg(F.first("text").alias("text"))
-    texts = scratch.written(source.join(texts, "row_key").select("node", "text"), "near-texts")
+    members = scratch.written(members.join(popular, "node"), "near-popular")
+    rows = docs.select(_row_key(id_col, text_col).alias("row_key"), F.col(f"`{text_col}`").cast("string").alias("text"))
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        """Pairs whose full sets are alike enough: by sketches first, then by the texts of those that are left."""
+        sketch = lambda side: nodes.select(F.col("node").alias(side), F.col("sketch").alias(f"{side}_sketch"))
+        near = sketch("a").join(_few(pairs), "a").join(sketch("b"), "b").select("a", "b", "a_sketch", "b_sketch")
+        near = scratch.written(near.mapInArrow(_plausible, "a binary, b binary"), "near-plausible")
+        ends = near.select(F.col("a").alias("node")).unionByName(near.select(F.col("b").alias("node"))).distinct()
+        keys = scratch.written(nodes.select("row_key", "node").join(ends, "node", "left_semi"), "near-keys")
+        texts = _semi(rows, keys, "row_key").groupBy("row_key").agg(F.first("text").alias("text")).join(_few(keys), "row_key")
+        texts = scratch.written(texts.select("node", "text"), "near-texts")
+        text = lambda side: texts.select(F.col("node").alias(side), F.col("text").alias(f"{side}_text"))
+        met = text("a").join(_few(near), "a").join(text("b"), "b").select("a", "b", "a_text", "b_text")
+        return scratch.written(met.mapInArrow(lambda x: _verify(x, percent), "a binary, b binary"), "near-links")
 
     found: list[DataFrame] = []
     tested: list[DataFrame] = []
@@ -223,7 +251,7 @@ def links(docs: DataFrame, feats: DataFrame, *, percent: int = PERCENT, id_col:
         if labels is None:
             now = members.withColumn("label", F.col("node"))
         else:
-            now = members.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+            now = members.where("n > 2").join(_few(labels), "node", "left").withColumn("label", F.coalesce("label", "node"))  # a bucket of two is done
             mixed = now.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("key")
             now = now.join(mixed, "key", "left_semi")
         now = scratch.written(now, "near-now")
@@ -241,10 +269,7 @@ def links(docs: DataFrame, feats: DataFrame, *, percent: int = PERCENT, id_col:
         if not pairs.take(1):
             break
         tested.append(pairs)
-        one = texts.select(F.col("node").alias("a"), F.col("text").alias("a_text"))
-        two = texts.select(F.col("node").alias("b"), F.col("text").alias("b_text"))
-        met = pairs.join(one, "a").join(two, "b").select("a", "b", "a_text", "b_text")
-        new = scratch.written(met.mapInArrow(lambda x: _verify(x, percent), "a binary, b binary"), "near-links")
+        new = verified(pairs)
         if not new.take(1):
             break
         found.append(new)
@@ -257,10 +282,10 @@ def links(docs: DataFrame, feats: DataFrame, *, percent: int = PERCENT, id_col:
 
 
 def features(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, row_key, n_shingles, node (a digest of the set; null: empty) and bands of each row, written."""
+    """doc_id, row_key, n_shingles, node (a digest of the set; null: empty), bands and sketch (a byte of each value, and the size up to 255) of each row, written."""
     rows = docs.select(F.col(f"`{id_col}`").alias("doc_id"), _row_key(id_col, text_col).alias("row_key"), F.col(f"`{text_col}`").cast("string").alias("text"))
     kind = rows.schema["doc_id"].dataType.simpleString()
-    return scratch.written(rows.mapInArrow(_features, f"doc_id {kind}, row_key long, n_shingles long, node binary, bands array<long>"), "near-features")
+    return scratch.written(rows.mapInArrow(_features, f"doc_id {kind}, row_key long, n_shingles long, node binary, bands array<long>, sketch binary"), "near-features")
 
 
 def clustered(docs: DataFrame, *, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
