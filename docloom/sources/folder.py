@@ -112,6 +112,12 @@ def finished(rows: DataFrame, options: ReadOptions) -> DataFrame:
     return redact_records(rows, redactor) if redactor is not None else rows
 
 
+def _marked(content: Column) -> Column:
+    """Whether a byte order mark comes first; such texts are decoded by the extractor."""
+    first = F.hex(F.substring(content, 1, 4))
+    return first.startswith("EFBBBF") | first.startswith("FFFE") | first.startswith("FEFF") | first.startswith("0000FEFF")
+
+
 def extracted(files: DataFrame, options: ReadOptions) -> DataFrame:
     """Records of described files with their content."""
     limit = options.max_bytes_per_file
@@ -119,10 +125,12 @@ def extracted(files: DataFrame, options: ReadOptions) -> DataFrame:
     wanted = _readable(F.col("extension"), options) | F.lit(options.content_hash)
     hashed = F.sha2("content", 256) if options.content_hash else F.lit(None).cast("string")
     read = files.where(fits & wanted).select("path", "extension", "size_bytes", "modified", hashed.alias("hash"), "content")
-    done = read.mapInPandas(_extract(options), _EXTRACTED)
+    simple = F.lit(False) if options.extractors else F.col("extension").isin(*sorted(formats.PlainText.extensions)) & ~_marked(F.col("content"))
+    done = read.where(~simple).mapInPandas(_extract(options), _EXTRACTED)
     none = F.create_map().cast("map<string,string>").alias("metadata")
     plain = files.where(fits & ~wanted).select("path", "size_bytes", "modified", F.lit(None).cast("string").alias("hash"), none, F.lit("").alias("text"), F.lit(None).cast("string").alias("problem"))
-    rows = done.unionByName(plain)
+    decoded = F.make_valid_utf8(F.col("content").cast("string")).alias("text")
+    rows = done.unionByName(plain).unionByName(read.where(simple).select("path", "size_bytes", "modified", "hash", none, decoded, F.lit(None).cast("string").alias("problem")))
     if limit > 0:
         note = F.concat(F.lit("skipped-content: "), F.col("size_bytes").cast("string"), F.lit(" bytes over limit"))
         rows = rows.unionByName(files.where(~fits).select("path", "size_bytes", "modified", F.lit(None).cast("string").alias("hash"), none, F.lit("").alias("text"), note.alias("problem")))

@@ -65,6 +65,16 @@ def test_contents_are_not_read_for_a_listing(spark, root):
     assert "ReadSchema: struct<path:string,modificationTime:timestamp,length:bigint>" in plan
 
 
+def test_plain_texts_are_decoded_alike_in_the_jvm(spark, tmp_path):
+    cases = {"a.txt": "ünï😀".encode(), "b.txt": b"bad \xff\xc3 x\xe2\x82", "c.csv": b"\xef\xbb\xbfmark", "d.log": "hé".encode("utf-16"), "f.json": b"\xfe\xff\x00h"}
+    for name, data in cases.items():
+        (tmp_path / name).write_bytes(data)
+    out = by_name(Engine(spark).read(str(tmp_path)))
+    assert set(out) == set(cases)
+    for name, data in cases.items():
+        assert out[name].text == formats.PlainText().extract(name, data).text, name
+
+
 class Shout:
     def can_handle(self, extension):
         return extension in (".txt", ".bin")
