@@ -12,8 +12,17 @@ from pyspark.sql import functions as F
 from docloom.llm import convnet, lines, mixing, neardup, packing, scratch, tokens
 
 
+#: Texts are sent to Python in batches of so many rows, as those that follow one another may all be long.
+BATCH_ROWS = 1000
+
+
+def _short_batches(spark: SparkSession) -> None:
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+
+
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents of which the classifier says that their quality is 1; it learns from the labels outside its held-out fold."""
+    _short_batches(spark)
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     out = convnet.scored(docs, convnet.trained(docs, labels)).where("predicted = 1")
     return out.select(*[F.col("text") if c == "text" else F.col(f"row.`{c}`").alias(c) for c in docs.columns])
@@ -21,12 +30,14 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines that ten documents or more share are gone from all texts; n_chars is counted again."""
+    _short_batches(spark)
     out = lines.without_shared_lines(docs)
     return out.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies: that of the least id."""
+    _short_batches(spark)
     return neardup.deduplicated(docs)
 
 
@@ -37,7 +48,8 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of all documents and their places in sequences of 2048 ids."""
-    return packing.packed(packing.pieces(docs, tokens.path("word_bpe_49k.json"), with_ids=False))
+    _short_batches(spark)
+    return packing.packed_texts(docs, tokens.path("word_bpe_49k.json"), with_ids=False, remembered=400_000)
 
 
 STAGES = [("quality classifier", quality), ("line dedup", line_dedup), ("near dedup", near_dedup), ("mix sources", mix), ("pack", pack)]

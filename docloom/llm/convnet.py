@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docloom.llm import folds, wordvec
+from docloom.llm import folds, tokens, wordvec
 
 CHUNK, STEP = 256, 224
 WIDTH, STRIDE, CHANNELS, FILTERS = 10, 2, 8, 64
@@ -183,6 +183,7 @@ def scored(docs: DataFrame, net: Network, *, id_col: str = "doc_id", text_col: s
     held = pickle.dumps(net, 5)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tokens.forget()
         own = pickle.loads(held)
         for batch in batches:
             data, offsets = wordvec.buffers(batch.column(1))

@@ -147,6 +147,7 @@ def line_counts(docs: DataFrame, *, text_col: str = "text", min_key: int = 1) ->
     """h, n: each distinct line hash and how many documents have the line."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tokens.forget()
         held: dict[int, int] = {}
 
         def out() -> pa.RecordBatch:

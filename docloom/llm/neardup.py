@@ -36,7 +36,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docloom.llm import scratch, wordvec
+from docloom.llm import scratch, tokens, wordvec
 
 WORDS = 5
 PERCENT = 70
@@ -48,6 +48,8 @@ LEAST_AGREEING, LARGE = 45, 200
 MOST_BROADCAST = 1_000_000
 #: Texts of pairs that are compared at once have about so many bytes.
 VERIFY_BYTES = 1_000_000
+#: Verified links that one task may unite.
+MOST_TOGETHER = 500_000
 _EMPTY = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
@@ -122,6 +124,7 @@ def band_keys(signature: np.ndarray) -> np.ndarray:
 
 
 def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    tokens.forget()
     for batch in batches:
         data, offsets = wordvec.buffers(batch.column(2))
         for a, b in wordvec.runs(offsets):
@@ -181,15 +184,39 @@ def _edge_sum(edges: DataFrame) -> tuple:
     return tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
 
 
+def _united(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Components of all edges that one task gets."""
+    above: dict = {}
+
+    def root(x):
+        while (y := above.setdefault(x, x)) != x:
+            above[x] = above[y]
+            x = y
+        return x
+
+    kind = pa.binary()
+    for batch in batches:
+        kind = batch.column(0).type
+        for x, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            x, y = sorted((root(x), root(y)))
+            above[y] = x
+    nodes = list(above)
+    yield pa.RecordBatch.from_arrays([pa.array(nodes, kind), pa.array([root(x) for x in nodes], kind)], names=["node", "label"])
+
+
 def components(edges: DataFrame) -> DataFrame:
     """node, label: label is the least node of its component. edges has a and b; nodes without edges are absent.
 
-    Alternates large and small stars (Kiveris and others, 2014): each round joins every
-    node with the least of its neighbours until only stars are left.
+    Up to MOST_TOGETHER edges are united by one task. With more, large and small stars
+    alternate (Kiveris and others, 2014): each round joins every node with the least of
+    its neighbours until only stars are left.
     """
     known = scratch.written(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "cc")
     before = _edge_sum(known)
-    while before[0]:
+    if before[0] <= MOST_TOGETHER:
+        kind = known.schema["a"].dataType.simpleString()
+        return known.coalesce(1).mapInArrow(_united, f"node {kind}, label {kind}")
+    while True:
         both = known.unionByName(known.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
         large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()

@@ -26,6 +26,8 @@ from docloom.llm import tokens
 
 SEQUENCE = 2048
 OPEN = 256
+#: Pieces of texts that a worker remembers.
+REMEMBERED = 800_000
 
 
 class BestFit:
@@ -63,13 +65,9 @@ class BestFit:
         return sequence
 
 
-def pieces(docs: DataFrame, vocabulary: str, *, end_id: int = 0, size: int = SEQUENCE, with_ids: bool = True, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, piece, start, length, ids_crc32 and, if wished, ids of each document's pieces."""
-    kind = dict(docs.dtypes)[id_col]
-    schema = f"doc_id {kind}, piece int, start long, length long, ids_crc32 long" + ", ids binary" * with_ids
-
+def _cutter(vocabulary: str, end_id: int, size: int, with_ids: bool, remembered: int = REMEMBERED):
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = tokens.encoder(vocabulary)
+        encode = tokens.encoder(vocabulary, remembered=remembered)
         end = np.array([end_id], "<u4").tobytes()
         for batch in batches:
             keys, rows = batch.column(0), ([], [], [], [], [], [])
@@ -87,12 +85,10 @@ def pieces(docs: DataFrame, vocabulary: str, *, end_id: int = 0, size: int = SEQ
                 names.append("ids")
             yield pa.RecordBatch.from_arrays(out, names=names)
 
-    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(cut, schema)
+    return cut
 
 
-def packed(parts: DataFrame, *, size: int = SEQUENCE, most_open: int = OPEN) -> DataFrame:
-    """parts with sequence_id and offset; the column length says how many ids a piece has."""
-
+def _placer(size: int, most_open: int):
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fit = BestFit(size, most_open, TaskContext.get().partitionId() << 33)
         for batch in batches:
@@ -102,6 +98,29 @@ def packed(parts: DataFrame, *, size: int = SEQUENCE, most_open: int = OPEN) ->
             out["offset"] = pa.array([o for _, o in places], pa.int64())
             yield pa.RecordBatch.from_arrays(list(out.values()), names=list(out))
 
+    return place
+
+
+def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    return docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"))
+
+
+def _schema(docs: DataFrame, id_col: str, with_ids: bool) -> str:
+    return f"doc_id {docs.schema[id_col].dataType.simpleString()}, piece int, start long, length long, ids_crc32 long" + ", ids binary" * with_ids
+
+
+def pieces(docs: DataFrame, vocabulary: str, *, end_id: int = 0, size: int = SEQUENCE, with_ids: bool = True, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, piece, start, length, ids_crc32 and, if wished, ids of each document's pieces."""
+    return _texts(docs, id_col, text_col).mapInArrow(_cutter(vocabulary, end_id, size, with_ids), _schema(docs, id_col, with_ids))
+
+
+def packed(parts: DataFrame, *, size: int = SEQUENCE, most_open: int = OPEN) -> DataFrame:
+    """parts with sequence_id and offset; the column length says how many ids a piece has."""
     kept = [f"`{f.name}` {f.dataType.simpleString()}" for f in parts.schema if f.name not in ("sequence_id", "offset")]
-    parts = parts.drop("sequence_id", "offset")
-    return parts.mapInArrow(place, ", ".join([*kept, "sequence_id long", "offset long"]))
+    return parts.drop("sequence_id", "offset").mapInArrow(_placer(size, most_open), ", ".join([*kept, "sequence_id long", "offset long"]))
+
+
+def packed_texts(docs: DataFrame, vocabulary: str, *, end_id: int = 0, size: int = SEQUENCE, most_open: int = OPEN, with_ids: bool = True, remembered: int = REMEMBERED, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """pieces and packed in one step: a task's pieces are placed by the process that cuts them. remembered: pieces of texts that a worker keeps."""
+    cut, place = _cutter(vocabulary, end_id, size, with_ids, remembered), _placer(size, most_open)
+    return _texts(docs, id_col, text_col).mapInArrow(lambda batches: place(cut(batches)), _schema(docs, id_col, with_ids) + ", sequence_id long, offset long")

@@ -8,13 +8,15 @@ that the library gives for the whole text.
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import json
 import os
 import re
+import struct
 from collections.abc import Callable, Iterator
 from functools import lru_cache
 
-import numpy as np
 import pyarrow as pa
 
 #: Pieces that a worker remembers, in two generations of half as many.
@@ -35,15 +37,15 @@ _CONTROL = re.compile(rb"[\x00-\x08\x0e-\x1f\x7f]")
 class _Memory(dict):
     """Piece to ids, as little-endian unsigned 32-bit integers."""
 
-    def __init__(self, encode: Callable[[bytes], bytes]) -> None:
+    def __init__(self, encode: Callable[[bytes], bytes], most: int) -> None:
         super().__init__()
-        self.encode, self.old = encode, {}
+        self.encode, self.old, self.half = encode, {}, most // 2
 
     def __missing__(self, piece: bytes) -> bytes:
         ids = self.old.get(piece)
         if ids is None:
             ids = self.encode(piece)
-        if len(self) >= REMEMBERED // 2:
+        if len(self) >= self.half:
             self.old = dict(self)
             self.clear()
         self[piece] = ids
@@ -58,7 +60,7 @@ def _byte_letters() -> dict[int, str]:
 
 
 @lru_cache(maxsize=4)
-def encoder(vocabulary: str, special_as_text: bool = True) -> Callable[[bytes], bytes]:
+def encoder(vocabulary: str, special_as_text: bool = True, remembered: int = REMEMBERED) -> Callable[[bytes], bytes]:
     """A function from the UTF-8 bytes of a text to its ids as little-endian unsigned 32-bit integers.
 
     No special tokens are added, and with special_as_text their strings in a text are
@@ -74,7 +76,8 @@ def encoder(vocabulary: str, special_as_text: bool = True) -> Callable[[bytes],
     bare, spaced = _kind(described)
 
     def library(piece: bytes) -> bytes:
-        return np.array(tokenizer.encode(piece.decode("utf-8", "replace"), add_special_tokens=False).ids, "<u4").tobytes()
+        ids = tokenizer.encode(piece.decode("utf-8", "replace"), add_special_tokens=False).ids
+        return struct.pack(f"<{len(ids)}I", *ids)
 
     if not (bare or spaced) or not special_as_text and described["added_tokens"]:
         return library
@@ -86,19 +89,29 @@ def encoder(vocabulary: str, special_as_text: bool = True) -> Callable[[bytes],
         if not plain(piece):
             return library(piece)
         written = (piece.decode("ascii") if spaced else piece.decode("ascii").lower()).translate(letters)
-        return np.array([t.id for t in model.tokenize(written)], "<u4").tobytes()
+        ids = [t.id for t in model.tokenize(written)]
+        return struct.pack(f"<{len(ids)}I", *ids)
 
-    memory = _Memory(once)
+    memory = _Memory(once, remembered)
     get, cut = memory.__getitem__, (_SPACED if spaced else _BARE).findall
 
     def encode(text: bytes) -> bytes:
-        if _CONTROL.search(text) or spaced and _WIDE_SPACE.search(text):
+        if _CONTROL.search(text) or spaced and not text.isascii() and _WIDE_SPACE.search(text):
             return library(text)
         return b"".join(map(get, cut(text)))
 
     return encode
 
 
+def forget() -> None:
+    """Gives up what this worker remembers, for a task that needs the room; tasks that tokenize begin anew."""
+    if encoder.cache_info().currsize:
+        encoder.cache_clear()
+        gc.collect()
+        if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+            trim(0)
+
+
 def _kind(described: dict) -> tuple[bool, bool]:
     """Whether the file cuts words without their spaces, or with one space before them; otherwise texts go to the library whole."""
     pre, normal = described.get("pre_tokenizer") or {}, described.get("normalizer")

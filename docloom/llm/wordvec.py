@@ -14,7 +14,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Texts are worked on in runs of about so many bytes; a longer text is a run of its own.
-RUN_BYTES = 2_000_000
+RUN_BYTES = 500_000
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True

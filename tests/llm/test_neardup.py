@@ -58,6 +58,7 @@ def grown():
 @pytest.mark.parametrize("most", [0, neardup.MOST_BROADCAST])
 def test_equals_brute_force(spark, most, monkeypatch):
     monkeypatch.setattr(neardup, "MOST_BROADCAST", most)
+    monkeypatch.setattr(neardup, "MOST_TOGETHER", most)
     rows = grown() if most else texts()
     out = neardup.clustered(documents(spark, rows)).select("doc_id", "n_shingles", "component_id", "kept")
     assert sorted((tuple(r) for r in out.collect()), key=repr) == plain(rows)
@@ -85,7 +86,9 @@ def test_empty_and_single(spark):
     assert neardup.deduplicated(documents(spark, [(1, None), (2, None)])).count() == 2
 
 
-def test_components(spark):
+@pytest.mark.parametrize("together", [-1, neardup.MOST_TOGETHER])
+def test_components(spark, together, monkeypatch):
+    monkeypatch.setattr(neardup, "MOST_TOGETHER", together)
     g = random.Random(2)
     for n, m in ((30, 20), (60, 90), (40, 0)):
         edges = [(g.randrange(n), g.randrange(n)) for _ in range(m)] + [(k, k + 1) for k in range(100, 120)]

@@ -23,10 +23,16 @@ def test_ids_are_the_librarys(name):
     check()
 
 
-def test_a_full_memory_forgets_in_two_generations(monkeypatch):
-    monkeypatch.setattr(tokens, "REMEMBERED", 8)
+def test_a_full_memory_forgets_in_two_generations():
     calls = []
-    memory = tokens._Memory(lambda p: calls.append(p) or p)
+    memory = tokens._Memory(lambda p: calls.append(p) or p, 8)
     for p in [b"%d" % k for k in range(20)] + [b"19", b"18"]:
         assert memory[p] == p
     assert calls.count(b"19") == 1 and len(memory) <= 8
+
+
+def test_forgetting_changes_no_ids():
+    name = tokens.path("byte_bpe_50k.json")
+    before = tokens.encoder(name)(b"some words, and more")
+    tokens.forget()
+    assert tokens.encoder(name)(b"some words, and more") == before
