@@ -7,7 +7,11 @@ values make buckets. A bucket is a star: its most popular member, by how many ot
 share buckets with it, is compared with each other member: on one byte of each value,
 and if enough of them agree on the full sets. Further
 rounds take a new centre in each bucket whose members still lie in several components,
-until a round finds no new link.
+until a round finds no new link. Members of buckets that still lie in several components
+are then joined exactly: with the shingles in one order, the least common first, two sets
+alike enough have one in common among the first few of both (prefix filter; Xiao and
+others, 2008), and all pairs of other components that have are compared. Long lists of
+such a shingle are first taken as buckets, so that dense groups are one component before.
 
 Equal sets are one node, whose members are never paired with each other. A pair at the
 threshold shares no bucket with probability (1 - 0.7**3)**32, below 2e-6, and has too
@@ -20,7 +24,9 @@ kept with component null only if no row of the component has an id); rows repeat
 whole get equal results. An empty table gives no rows. Other columns are ignored.
 
 Data sizes: texts are read once for their features and once a round; only texts of pairs
-whose values agree are shuffled. Buckets are counted with partial sums and stars joined with adaptive
+whose values agree are shuffled, and of members of unresolved buckets at most three
+tenths of the shingles. Pairs of the last join grow with the square of a rare shingle's
+list, if its texts are alike but not enough. Buckets are counted with partial sums and stars joined with adaptive
 skew splitting, so one bucket may hold any share of all rows.
 """
 
@@ -48,6 +54,10 @@ LEAST_AGREEING, LARGE = 45, 200
 MOST_BROADCAST = 1_000_000
 #: Texts of pairs that are compared at once have about so many bytes.
 VERIFY_BYTES = 1_000_000
+#: Nodes whose shingles are counted to find the common ones, and common ones that are known.
+COUNTED, MOST_COMMON = 10_000, 500_000
+#: Members of a rare shingle's list up to which all pairs are compared at once.
+SHORT_LIST = 32
 #: Verified links that one task may unite.
 MOST_TOGETHER = 500_000
 _EMPTY = np.uint64(0xFFFFFFFFFFFFFFFF)
@@ -179,6 +189,36 @@ def _verify(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.Reco
         yield pa.RecordBatch.from_arrays([batch.column(0).filter(mask), batch.column(1).filter(mask)], names=["a", "b"])
 
 
+def _shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The shingle hashes of all texts."""
+    for batch in batches:
+        data, offsets = wordvec.buffers(batch.column(1))
+        for a, b in wordvec.runs(offsets):
+            values, _ = sets(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
+            yield pa.RecordBatch.from_arrays([pa.array(values.view(np.int64))], names=["x"])
+
+
+def _prefixes(batches: Iterator[pa.RecordBatch], common: np.ndarray, counts: np.ndarray, percent: int) -> Iterator[pa.RecordBatch]:
+    """node, size, x and lead: the first shingles of each text, by count and hash. A set shares one of them with any set alike enough, and a leading one with any that is not smaller."""
+    for batch in batches:
+        data, offsets = wordvec.buffers(batch.column(1))
+        for a, b in wordvec.runs(offsets):
+            values, first = sets(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
+            count = np.zeros(len(values), np.int64)
+            if len(common):
+                at = np.minimum(np.searchsorted(common, values), len(common) - 1)
+                count = np.where(common[at] == values, counts[at], 0)
+            size = np.diff(first)
+            row = np.repeat(np.arange(b - a), size)
+            order = np.lexsort((values, count, row))
+            place = np.arange(len(values)) - first[row]
+            some = place < (size - -(-percent * size // 100) + 1)[row]
+            lead = place < (size - -(-2 * percent * size // (100 + percent)) + 1)[row]
+            nodes = batch.column(0).slice(a, b - a).take(pa.array(row[some]))
+            out = [nodes, pa.array(size[row[some]], pa.int64()), pa.array(values[order][some].view(np.int64)), pa.array(lead[some])]
+            yield pa.RecordBatch.from_arrays(out, names=["node", "size", "x", "lead"])
+
+
 def _edge_sum(edges: DataFrame) -> tuple:
     """A digest of a set of edges: their number and the sum of hashes."""
     return tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
@@ -273,35 +313,88 @@ def links(docs: DataFrame, feats: DataFrame, *, percent: int = PERCENT, id_col:
     found: list[DataFrame] = []
     tested: list[DataFrame] = []
     labels = None
-    spent = None  # the components of each bucket's earlier centres
-    while True:
+
+    def labelled(members: DataFrame) -> DataFrame:
         if labels is None:
-            now = members.withColumn("label", F.col("node"))
-        else:
-            now = members.where("n > 2").join(_few(labels), "node", "left").withColumn("label", F.coalesce("label", "node"))  # a bucket of two is done
-            mixed = now.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("key")
-            now = now.join(mixed, "key", "left_semi")
-        now = scratch.written(now, "near-now")
-        free = now
-        if spent is not None:
-            gone = spent.join(labels, spent["centre"] == labels["node"], "left").select("key", F.coalesce("label", "centre").alias("label")).distinct()
-            free = now.join(gone, ["key", "label"], "left_anti")
-        centres = free.groupBy("key").agg(F.max(F.struct("pop", "node", "label")).alias("c")).select("key", F.col("c.node").alias("centre"), F.col("c.label").alias("centre_label"))
-        centres = scratch.written(centres, "near-centres")
-        star = now.join(centres, "key").where("label <> centre_label").select(F.greatest("node", "centre").alias("a"), F.least("node", "centre").alias("b"))
-        pairs = star.distinct()
+            return members.withColumn("label", F.col("node"))
+        return members.join(_few(labels), "node", "left").withColumn("label", F.coalesce("label", "node"))
+
+    def mixed(now: DataFrame) -> DataFrame:
+        """Those members whose bucket has several components."""
+        several = now.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("key")
+        return now.join(several, "key", "left_semi")
+
+    def tried(pairs: DataFrame) -> bool:
+        """Compares pairs that were not yet; whether there are new links."""
+        nonlocal labels
         for old in tested:
             pairs = pairs.join(old, ["a", "b"], "left_anti")
         pairs = scratch.written(pairs, "near-pairs")
         if not pairs.take(1):
-            break
+            return False
         tested.append(pairs)
         new = verified(pairs)
         if not new.take(1):
-            break
+            return False
         found.append(new)
-        spent = centres.select("key", "centre") if spent is None else spent.unionByName(centres.select("key", "centre"))
         labels = scratch.written(components(reduce(DataFrame.unionByName, found)), "near-labels")
+        return True
+
+    def stars(members: DataFrame) -> None:
+        """Rounds of a centre for each bucket, until one finds no new link."""
+        spent = None  # each bucket's earlier centres
+        while True:
+            now = labelled(members) if spent is None else labelled(members.where("n > 2"))  # a bucket of two is done
+            now = scratch.written(now if labels is None else mixed(now), "near-now")
+            free = now
+            if spent is not None:
+                gone = spent.join(labels, spent["centre"] == labels["node"], "left").select("key", F.coalesce("label", "centre").alias("label")).distinct()
+                free = now.join(gone, ["key", "label"], "left_anti")
+            centres = free.groupBy("key").agg(F.max(F.struct("pop", "node", "label")).alias("c")).select("key", F.col("c.node").alias("centre"), F.col("c.label").alias("centre_label"))
+            centres = scratch.written(centres, "near-centres")
+            star = now.join(centres, "key").where("label <> centre_label").select(F.greatest("node", "centre").alias("a"), F.least("node", "centre").alias("b"))
+            if not tried(star.distinct()):
+                break
+            spent = centres.select("key", "centre") if spent is None else spent.unionByName(centres.select("key", "centre"))
+
+    def rest() -> None:
+        """Compares all pairs of other components among the members of buckets that are still mixed: those that have a rare shingle in common."""
+        open_ = mixed(labelled(members.where("n > 2"))).select("node").distinct()
+        open_ = scratch.written(nodes.select("row_key", "node").join(open_, "node", "left_semi"), "near-open")
+        n = open_.count()
+        if not n:
+            return
+
+        def texts(keys: DataFrame) -> DataFrame:
+            return _semi(rows, keys, "row_key").groupBy("row_key").agg(F.first("text").alias("text")).join(_few(keys), "row_key").select("node", "text")
+
+        some = texts(open_.where(F.pmod(F.xxhash64("node"), F.lit(-(-n // COUNTED))) == 0)).mapInArrow(_shingles, "x long")
+        most = some.groupBy("x").agg(F.count("*").alias("n")).where("n > 1").orderBy(F.desc("n"), "x").limit(MOST_COMMON).toArrow()
+        common, counts = most.column("x").to_numpy().view(np.uint64), most.column("n").to_numpy()
+        order = np.argsort(common)
+        known = spark.sparkContext.broadcast((common[order], counts[order]))
+        kind = "node binary, size long, x long, lead boolean"
+        lists = texts(open_).mapInArrow(lambda x: _prefixes(x, *known.value, percent), kind).withColumnRenamed("x", "key")
+        lists = scratch.written(lists, "near-prefixes")
+        led = lists.groupBy("key").agg(F.count("*").alias("n"), F.max("lead").alias("led")).where("n > 1 and led").select("key")
+        lists = scratch.written(lists.join(led, "key", "left_semi"), "near-lists")
+        leads = lists.where("lead").select("node", "key")
+        long = leads.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > SHORT_LIST)
+        long = leads.join(long, "key")
+        if long.take(1):
+            stars(scratch.written(long.join(long.groupBy("node").agg(F.sum("n").alias("pop")), "node"), "near-long"))
+        now = scratch.written(mixed(labelled(lists)), "near-now")
+
+        def side(name: str, part: DataFrame) -> DataFrame:
+            """A list for each shingle and component, so that those of one component are not paired."""
+            return part.groupBy("key", F.col("label").alias(f"{name}_label")).agg(F.collect_list(F.struct("size", "node")).alias(name))
+
+        met = side("x", now.where("lead")).join(side("y", now), "key").where("x_label <> y_label")
+        met = met.select(F.explode("x").alias("x"), "y").select("x", F.explode("y").alias("y")).where(f"x < y and 100 * x.size >= {percent} * y.size")
+        tried(met.select(F.greatest("x.node", "y.node").alias("a"), F.least("x.node", "y.node").alias("b")).distinct())
+
+    stars(members)
+    rest()
     if not found:
         none = spark.createDataFrame([], "a binary, b binary")
         return none, none.select(F.col("a").alias("node"), F.col("b").alias("label"))

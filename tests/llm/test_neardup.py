@@ -64,6 +64,23 @@ def test_equals_brute_force(spark, most, monkeypatch):
     assert sorted((tuple(r) for r in out.collect()), key=repr) == plain(rows)
 
 
+def alike(n, own, shared):
+    """n texts of 150 shingles of one passage and own ones; each two in a row share some of these, if shared."""
+    passage = [f"p{k}" for k in range(154)]
+    tail = lambda k: [f"s{k // 2}x{i}" for i in range(shared)] + [f"t{k}x{i}" for i in range(own - shared)]
+    return [(k, " ".join(passage + tail(k))) for k in range(n)]
+
+
+@pytest.mark.parametrize("own, short", [(33, neardup.SHORT_LIST), (40, 1)])
+def test_links_before_a_background_just_below_the_threshold(spark, own, short, monkeypatch):
+    monkeypatch.setattr(neardup, "SHORT_LIST", short)
+    rows = alike(80, own, 2 if own == 33 else 14)
+    want = plain(rows)
+    assert all(c == i // 2 * 2 for i, _, c, _ in want)
+    out = neardup.clustered(documents(spark, rows)).select("doc_id", "n_shingles", "component_id", "kept")
+    assert sorted((tuple(r) for r in out.collect()), key=repr) == want
+
+
 def test_chain_of_links_is_one_component(spark):
     w = prose(5, 200).split(" ")
     rows = [(k, " ".join(w[8 * k : 8 * k + 100])) for k in range(12)]
