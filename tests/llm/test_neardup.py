@@ -3,6 +3,7 @@ import random
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from docloom.llm import neardup, wordvec
 from tests.llm.helpers import documents, prose, shingles, texts, words
@@ -81,6 +82,16 @@ def test_links_before_a_background_just_below_the_threshold(spark, own, short, m
     assert sorted((tuple(r) for r in out.collect()), key=repr) == want
 
 
+def test_link_of_two_that_are_never_centres(spark):
+    w = prose(5, 200).split(" ")
+    c1, m1, m2, c2 = rows = [(k, " ".join(w[15 * k : 15 * k + 100])) for k in range(4)]
+    docs = documents(spark, rows)
+    bands = F.when(F.col("doc_id").isin(c1[0], c2[0]), F.array(*map(F.lit, (1, 2, 3)))).otherwise(F.array(F.lit(1))).cast("array<long>")
+    feats = neardup.features(docs).withColumn("bands", bands)
+    labels = {r.node: r.label for r in neardup.links(docs, feats)[1].collect()}
+    assert len(labels) == 4 and len(set(labels.values())) == 1
+
+
 def test_chain_of_links_is_one_component(spark):
     w = prose(5, 200).split(" ")
     rows = [(k, " ".join(w[8 * k : 8 * k + 100])) for k in range(12)]
