@@ -9,10 +9,9 @@ Defined results: a null or empty text is one chunk of padding and gets a probabi
 any other; equal texts get equal probabilities; without labelled rows the probability is
 the share that is assumed (0.5); an empty table gives no rows. Other columns are ignored.
 
-Data sizes: the sample has at most PER_LABEL rows a label and CHUNKS_A_TEXT chunks, spread
-over all of its text, of each, and is cut into chunks where its rows are; the driver fits
-the network on these. Each text is then scored whole, where it is; the network is about
-70 kB.
+Data sizes: the sample has at most PER_LABEL rows a label, and is cut into chunks where its
+rows are; the driver gets all chunks of these and fits the network on them, BLOCK at once.
+Each text is then scored whole, where it is; the network is about 70 kB.
 """
 
 from __future__ import annotations
@@ -30,7 +29,7 @@ from docloom.llm import folds, tokens, wordvec
 
 CHUNK, STEP = 256, 224
 WIDTH, STRIDE, CHANNELS, FILTERS = 10, 2, 8, 64
-PER_LABEL, CHUNKS_A_TEXT = 2500, 12
+PER_LABEL = 2500
 EPOCHS, LEAST_STEPS, BATCH, RATE, DECAY = 12, 600, 48, 0.004, 1e-4
 #: Chunks that are convolved at once.
 BLOCK = 96
@@ -68,8 +67,8 @@ class Network:
     def parameters(self) -> list[np.ndarray]:
         return [self.bytes_, self.filters, self.bias, self.mean, self.max_, self.offset]
 
-    def pooled(self, block: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Of each chunk the highest value of each filter, where it is, and all windows."""
+    def pooled(self, block: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Of each chunk the highest value of each filter, and where it is."""
         x = self.bytes_[block]
         seen = np.lib.stride_tricks.sliding_window_view(x.reshape(len(block), -1), WIDTH * CHANNELS, axis=1)[:, :: STRIDE * CHANNELS]
         seen = np.ascontiguousarray(seen)
@@ -77,7 +76,7 @@ class Network:
         out = out.reshape(len(block), -1, FILTERS)
         at = out.argmax(1)
         best = np.take_along_axis(out, at[:, None], 1)[:, 0] + self.bias
-        return best, at, seen
+        return best, at
 
     def features(self, block: np.ndarray) -> np.ndarray:
         """As pooled, without what training needs."""
@@ -109,7 +108,8 @@ def fit(texts: list[np.ndarray], labels: np.ndarray, weights: np.ndarray, *, see
             block = np.concatenate([texts[i] for i in own])
             counts = np.array([len(texts[i]) for i in own])
             first = np.concatenate([[0], np.cumsum(counts)[:-1]])
-            raw, at, seen = net.pooled(block)
+            pooled = [net.pooled(block[a : a + BLOCK]) for a in range(0, len(block), BLOCK)]
+            raw, at = (np.concatenate(x) for x in zip(*pooled))
             active = np.maximum(raw, 0)
             z = net.logits(active, first)
             w = weights[own] / weights[own].mean()
@@ -119,15 +119,16 @@ def fit(texts: list[np.ndarray], labels: np.ndarray, weights: np.ndarray, *, see
             row = np.repeat(np.arange(len(own)), counts)
             dactive = (dz / counts)[row, None] * net.mean + np.where(active == tops[row], dz[row, None] * net.max_, 0)
             draw = np.where(raw > 0, dactive, 0).astype(np.float32)
-            windows = seen[np.arange(len(block))[:, None], at]  # chunk x filter x width
-            dfilters = np.einsum("cf,cfw->wf", draw, windows, optimize=True)
-            dwindow = (draw[:, :, None] * net.filters.T[None]).reshape(len(block), FILTERS, WIDTH, CHANNELS)
-            spots = (at * STRIDE)[:, :, None] + np.arange(WIDTH)
-            which = block[np.arange(len(block))[:, None, None], spots]
-            dbytes = np.zeros_like(net.bytes_)
-            flat, values = which.reshape(-1), dwindow.reshape(-1, CHANNELS)
-            for c in range(CHANNELS):
-                dbytes[:, c] = np.bincount(flat, values[:, c], 256)
+            dfilters, dbytes = np.zeros_like(net.filters), np.zeros_like(net.bytes_)
+            for a in range(0, len(block), BLOCK):
+                part = draw[a : a + BLOCK]
+                spots = (at[a : a + BLOCK] * STRIDE)[:, :, None] + np.arange(WIDTH)
+                which = block[a : a + BLOCK][np.arange(len(part))[:, None, None], spots]
+                windows = net.bytes_[which].reshape(len(part), FILTERS, WIDTH * CHANNELS)  # chunk x filter x width
+                dfilters += np.einsum("cf,cfw->wf", part, windows, optimize=True)
+                values = (part[:, :, None] * net.filters.T[None]).reshape(-1, CHANNELS)
+                for c in range(CHANNELS):
+                    dbytes[:, c] += np.bincount(which.reshape(-1), values[:, c], 256)
             gradients = [dbytes, dfilters + DECAY * net.filters, draw.sum(0), dz @ means + DECAY * net.mean, dz @ tops + DECAY * net.max_, dz.sum(keepdims=True)]
             step += 1
             rate = RATE * (0.5 + 0.5 * np.cos(np.pi * step / total)) + 1e-5
@@ -154,13 +155,13 @@ def probabilities(net: Network, data: np.ndarray, offsets: np.ndarray) -> np.nda
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The chunks of training texts; of a text with more, CHUNKS_A_TEXT that are spread over all of it."""
+    """All chunks of training texts."""
     for batch in batches:
         out = []
         for i in range(batch.num_rows):
             data, offsets = wordvec.buffers(batch.column(1).slice(i, 1))
             n = int(n_chunks(np.array([len(data)]))[0])
-            at = np.unique(np.linspace(0, n - 1, min(n, CHUNKS_A_TEXT)).astype(np.int64)) * STEP
+            at = np.arange(n) * STEP
             out.append(chunks(data, at, np.full(len(at), len(data))).tobytes())
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary()), batch.column(2)], names=["_id", "chunks", "label"])
 
@@ -169,7 +170,7 @@ def trained(docs: DataFrame, labels: DataFrame, *, label_col: str = "quality", f
     """how: epochs and least_steps of the fit."""
     sample, weights = folds.sampled(docs, labels, label_col, folds=folds_, held_out=held_out, per_label=per_label)
     kind = sample.schema["_id"].dataType.simpleString()
-    rows = sample.select("_id", "text", "label").mapInArrow(_cut, f"_id {kind}, chunks binary, label int").toPandas()  # at most 2 * per_label rows of bounded size
+    rows = sample.select("_id", "text", "label").mapInArrow(_cut, f"_id {kind}, chunks binary, label int").toPandas()  # at most 2 * per_label rows, with whole texts
     rows = rows.sort_values("_id", kind="stable")
     texts = [np.frombuffer(x, np.uint8).reshape(-1, CHUNK) for x in rows["chunks"]]
     y = rows["label"].to_numpy(np.float32)

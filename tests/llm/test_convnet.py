@@ -56,6 +56,15 @@ def test_chunks_cover_the_whole_text():
         assert covered.all()
 
 
+def test_training_texts_have_all_their_chunks():
+    text = bytes((k // 7) % 250 + 1 for k in range(40 * convnet.STEP))
+    batch = pa.RecordBatch.from_arrays([pa.array([1, 2]), pa.array([text, b""]), pa.array([1, 0], pa.int32())], names=["_id", "text", "label"])
+    cut = next(convnet._cut(iter([batch]))).column(1).to_pylist()
+    n = int(convnet.n_chunks(np.array([len(text)]))[0])
+    assert n > 12 and len(cut[0]) == n * convnet.CHUNK and len(cut[1]) == convnet.CHUNK
+    assert all(cut[0][k * convnet.CHUNK : (k + 1) * convnet.CHUNK].rstrip(b"\0") == text[k * convnet.STEP :][: convnet.CHUNK] for k in range(n))
+
+
 def test_pooling_equals_a_plain_convolution():
     net = convnet.Network.new(1)
     text = prose(1, 400).encode() + b"\xff\x00end"
