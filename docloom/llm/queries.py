@@ -19,7 +19,7 @@ def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_pack_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.packed_texts(_table(spark, sf_dir, "documents"), tokens.path("word_bpe_49k.json"), with_ids=False)
+    return packing.packed_texts(_table(spark, sf_dir, "documents"), tokens.path("word_bpe_49k.json")).drop("ids")
 
 
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

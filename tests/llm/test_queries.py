@@ -1,5 +1,7 @@
 """The registered queries on the smallest tables, against their SQL, and the pipeline against a plain version."""
 
+import zlib
+
 import duckdb
 import pytest
 
@@ -68,6 +70,11 @@ def test_pipeline_stages(spark):
     assert got == want
 
 
+def test_the_last_stage_has_the_ids(spark):
+    out = corpus_pipeline.pack(spark, spark.read.parquet(f"{TINY}/documents.parquet"), TINY).collect()
+    assert out and all(len(r.ids) == 4 * r.length and zlib.crc32(r.ids) == r.ids_crc32 for r in out)
+
+
 def test_run_applies_all_stages(spark):
     out = corpus_pipeline.run(spark, TINY)
     assert out.count() > 50 and {"doc_id", "piece", "sequence_id", "offset"} <= set(out.columns)
