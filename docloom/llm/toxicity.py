@@ -21,6 +21,7 @@ has. Every text is scored whole, where it is, with weights of at most VOCABULARY
 from __future__ import annotations
 
 import pickle
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -43,6 +44,9 @@ SEEDS = (
     "hate vermin filthy creep freak coward liar parasite ugly garbage shut idiote crétin imbécile abruti ordure connard "
     "dummkopf trottel abschaum idioten versager widerlich idiota imbécil estúpido basura asqueroso inútil payaso"
 ).split()
+#: Words that address the reader, and letters hidden in a word.
+ADDRESS = "you your yours yourself you're u ur tu toi ton ta tes vous votre du dich dir dein deine tú tus usted ustedes eres".split()
+_MASKED = re.compile(rb"[A-Za-z][*#$]+[A-Za-z]")
 _PUNCTUATION = np.zeros(256, bool)
 _PUNCTUATION[[b for b in range(33, 127) if not chr(b).isalnum()]] = True
 _KIND = [np.uint64(0), np.uint64(0xA0761D6478BD642F), np.uint64(0xE7037ED1A0B428DB), np.uint64(0x8EBC6AF09C88C6E3)]
@@ -83,10 +87,10 @@ def distinct(rows: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return rows[new], values[new]
 
 
-def seed_hashes() -> np.ndarray:
-    data, offsets = wordvec.buffers(pa.array(SEEDS))
+def seed_hashes(words: list[str] = SEEDS) -> np.ndarray:
+    data, offsets = wordvec.buffers(pa.array(words))
     row, h, _ = terms(data, offsets)
-    return h[: len(SEEDS)]
+    return h[: len(words)]
 
 
 @dataclass
@@ -178,27 +182,36 @@ def fit_linear(row: np.ndarray, term: np.ndarray, n: int, m: int, target: np.nda
     return w, b
 
 
+_TERM_NAMES = ["_id", "label", "terms", "n_words", "upper", "direct", "masked"]
+
+
 def _term_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    address = seed_hashes(ADDRESS)
     for batch in batches:
         data, offsets = wordvec.buffers(batch.column(1))
         for a, b in wordvec.runs(offsets):
             own, cut = data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]
             row, h, n_words = terms(own, cut)
+            direct = np.bincount(row[np.isin(h, address)], minlength=b - a)
+            raw = own.tobytes()
+            masked = np.array([_MASKED.search(raw, x, y) is not None for x, y in zip(cut[:-1].tolist(), cut[1:].tolist())], bool)
             row, h = distinct(row, h)
             first = np.searchsorted(row, np.arange(b - a + 1)).astype(np.int32)
             upper = np.add.reduceat(np.append((own >= 65) & (own <= 90), False).astype(np.int64), cut[:-1]) * (np.diff(cut) > 0)
             letters = np.maximum(1, np.diff(cut))
             lists = pa.ListArray.from_arrays(pa.array(first), pa.array(h.view(np.int64)))
-            yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), batch.column(2).slice(a, b - a), lists, pa.array(n_words, pa.int64()), pa.array(upper / letters)], names=["_id", "label", "terms", "n_words", "upper"])
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), batch.column(2).slice(a, b - a), lists, pa.array(n_words, pa.int64()), pa.array(upper / letters), pa.array(direct, pa.int64()), pa.array(masked)], names=_TERM_NAMES)
 
 
-def voters(row: np.ndarray, term: np.ndarray, n: int, lexicon: np.ndarray, n_words: np.ndarray, upper: np.ndarray) -> np.ndarray:
-    """texts x voters: a voter for each lexicon term and one for each pattern."""
-    votes = np.zeros((n, len(lexicon) + 4), np.int8)
+def voters(row: np.ndarray, term: np.ndarray, n: int, lexicon: np.ndarray, n_words: np.ndarray, upper: np.ndarray, direct: np.ndarray, masked: np.ndarray) -> np.ndarray:
+    """texts x voters: a voter for each lexicon term and one for each pattern. direct and masked: words of address, and whether a word hides letters."""
+    votes = np.zeros((n, len(lexicon) + 6), np.int8)
     place = {int(t): k for k, t in enumerate(lexicon)}
     at = np.array([place.get(int(t), -1) for t in term], np.int64)
     votes[row[at >= 0], at[at >= 0]] = 1
     hits = (votes[:, : len(lexicon)] == 1).sum(1)
+    votes[:, -6] = np.where(direct * 50 >= np.maximum(n_words, 1), 1, 0)
+    votes[:, -5] = np.where(masked, 1, 0)
     votes[:, -4] = np.where(hits >= 2, 1, 0)
     votes[:, -3] = np.where(hits * 100 >= np.maximum(n_words, 1), 1, 0) * (hits > 0)
     votes[:, -2] = np.where((upper > 0.5) & (hits > 0), 1, 0)
@@ -226,9 +239,11 @@ def trained(docs: DataFrame, labels: DataFrame, *, label_col: str = "toxic", fol
     if set(weights) != {0, 1}:
         return alone, None
     kind = sample.schema["_id"].dataType.simpleString()
-    rows = scratch.written(sample.select("_id", "text", "label").mapInArrow(_term_rows, f"_id {kind}, label int, terms array<long>, n_words long, upper double"), "toxic-terms")
+    rows = scratch.written(sample.select("_id", "text", "label").mapInArrow(_term_rows, f"_id {kind}, label int, terms array<long>, n_words long, upper double, direct long, masked boolean"), "toxic-terms")
     counted = rows.select("label", F.explode("terms").alias("term")).groupBy("term").agg(F.count_if(F.col("label") == 1).alias("pos"), F.count_if(F.col("label") == 0).alias("neg"))
-    vocabulary = counted.where(F.col("pos") + F.col("neg") >= LEAST_TEXTS).orderBy((F.col("pos") / (F.col("neg") * F.lit(weights[0] / weights[1]) + 1)).desc(), "term").limit(VOCABULARY).toPandas()
+    counted = counted.where(F.col("pos") + F.col("neg") >= LEAST_TEXTS)
+    all_pos, all_neg = (float(x or 0) * weights[c] for c, x in zip((1, 0), counted.agg(F.sum("pos"), F.sum("neg")).first()))
+    vocabulary = counted.orderBy((F.col("pos") / (F.col("neg") * F.lit(weights[0] / weights[1]) + 1)).desc(), "term").limit(VOCABULARY).toPandas()
     known = vocabulary["term"].to_numpy(np.int64)
     pos, neg = vocabulary["pos"].to_numpy(np.float64) * weights[1], vocabulary["neg"].to_numpy(np.float64) * weights[0]
     order = np.sort(known)
@@ -243,9 +258,9 @@ def trained(docs: DataFrame, labels: DataFrame, *, label_col: str = "toxic", fol
             hit = sent[at] == flat if len(sent) else np.zeros(len(flat), bool)
             cut = np.searchsorted(owner[hit], np.arange(len(lists) + 1)).astype(np.int32)
             own = pa.ListArray.from_arrays(pa.array(cut), pa.array(at[hit].astype(np.int32)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), own, batch.column(3), batch.column(4)], names=["_id", "label", "terms", "n_words", "upper"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), own, *batch.columns[3:]], names=_TERM_NAMES)
 
-    held = rows.mapInArrow(restrict, f"_id {kind}, label int, terms array<int>, n_words long, upper double").toPandas()  # at most 2 * per_label rows
+    held = rows.mapInArrow(restrict, f"_id {kind}, label int, terms array<int>, n_words long, upper double, direct long, masked boolean").toPandas()  # at most 2 * per_label rows
     held = held.sort_values("_id", kind="stable")
     n = len(held)
     sizes = np.array([len(t) for t in held["terms"]], np.int64)
@@ -253,7 +268,7 @@ def trained(docs: DataFrame, labels: DataFrame, *, label_col: str = "toxic", fol
     term = np.concatenate([np.asarray(t, np.int64) for t in held["terms"]]) if n else np.zeros(0, np.int64)
     row_weight = np.array([weights[int(k)] for k in held["label"]], np.float64)
     place = {int(t): k for k, t in enumerate(order)}
-    mean = (pos.sum() + 1) / (pos.sum() + neg.sum() + 2)
+    mean = (all_pos + 1) / (all_pos + all_neg + 2)  # of all counted terms, also those outside the vocabulary
     surety = (pos + 2 * mean) / (pos + neg + 2)
     toxic = np.flatnonzero((surety > SURE) & (vocabulary["pos"].to_numpy() >= LEAST_TEXTS))
     toxic = toxic[np.argsort(-vocabulary["pos"].to_numpy()[toxic], kind="stable")]
@@ -261,7 +276,7 @@ def trained(docs: DataFrame, labels: DataFrame, *, label_col: str = "toxic", fol
     lexicon = _spread([place[int(known[k])] for k in toxic], common, row, term)
     if not lexicon:
         return alone, None
-    votes = voters(row, term, n, np.array(lexicon), held["n_words"].to_numpy(), held["upper"].to_numpy())
+    votes = voters(row, term, n, np.array(lexicon), *(held[c].to_numpy() for c in _TERM_NAMES[3:]))
     prior = float(weights[1] * (held["label"] == 1).sum() / row_weight.sum())
     marked = np.where(held["label"].to_numpy() == 1, 1, -1).astype(np.int8)
     votes = np.concatenate([votes, marked[:, None]], 1)  # whoever labelled the sample is a voter too, and may err

@@ -70,6 +70,15 @@ def test_terms_have_no_signs_at_their_ends():
     assert sets[0] == sets[1] == sets[2] and not sets[3] and not sets[4] and n.tolist() == [1, 1, 1, 1, 0]
 
 
+def test_address_and_masked_letters_vote_without_a_known_term():
+    rows = ["you are a nice cat", "what a b*st day", "a quiet day by the sea", ""]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(4)), pa.array(rows), pa.array([1, 1, 0, 0], pa.int32())], names=["_id", "text", "label"])
+    out = next(toxicity._term_rows(iter([batch])))
+    none = np.zeros(0, np.int64)
+    votes = toxicity.voters(none, none, 4, none, *(out.column(k).to_numpy(zero_copy_only=False) for k in range(3, 7)))
+    assert (votes == 1).any(1).tolist() == [True, True, False, False] and (votes[:, -1] == -1).all()
+
+
 def test_label_model_tells_good_voters_from_bad_and_correlated_ones():
     g = np.random.default_rng(5)
     n = 4000
