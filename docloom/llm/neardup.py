@@ -409,7 +409,7 @@ def features(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text")
 
 
 def clustered(docs: DataFrame, *, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, row_key, n_shingles, component_id, n_links (of its node with nodes of other sets) and kept, a row for each row of docs."""
+    """doc_id, row_key, n_shingles, component_id, n_links (of its node, those that the search verified: one at least if it has any, not all) and kept, a row for each row of docs."""
     feats = features(docs, id_col=id_col, text_col=text_col)
     pairs, labels = links(docs, feats, percent=percent, id_col=id_col, text_col=text_col)
     classes = feats.where("n_shingles > 0").groupBy("node").agg(F.min("doc_id").alias("least"))
