@@ -65,6 +65,19 @@ def test_training_texts_have_all_their_chunks():
     assert all(cut[0][k * convnet.CHUNK : (k + 1) * convnet.CHUNK].rstrip(b"\0") == text[k * convnet.STEP :][: convnet.CHUNK] for k in range(n))
 
 
+def test_scores_do_not_depend_on_other_rows(spark):
+    net = convnet.Network.new(2)
+    rows = [(k, prose(k % 37, 5 + 40 * (k % 7))) for k in range(150)] + [(999, prose(1, 30000)), (1000, ""), (1001, None)]
+    docs = documents(spark, rows)
+    first = {r.row.doc_id: r.score for r in convnet.scored(docs.coalesce(1), net).collect()}
+    for n in (3, 7):
+        assert {r.row.doc_id: r.score for r in convnet.scored(docs.repartition(n), net).collect()} == first
+    for k, text in rows[::29] + rows[-3:]:
+        data, offsets = wordvec.buffers(pa.array([text], pa.string()))
+        assert convnet.probabilities(net, data, offsets)[0] == first[k]
+    assert all(first[a] == first[b] for (a, x), (b, y) in zip(rows, rows[1:]) if x == y) and first[1000] == first[1001]
+
+
 def test_pooling_equals_a_plain_convolution():
     net = convnet.Network.new(1)
     text = prose(1, 400).encode() + b"\xff\x00end"
@@ -82,7 +95,26 @@ def test_pooling_equals_a_plain_convolution():
             features.append(np.maximum(best + net.bias, 0))
         f = np.array(features)
         z = float((f.mean(0) @ net.mean + f.max(0) @ net.max_ + net.offset)[0])
-        assert abs(got[k] - 1 / (1 + np.exp(-z))) < 1e-5
+        assert abs(got[k] - 1 / (1 + np.exp(-z))) < 5e-3  # the filters' weights are rounded to 127 steps
+
+
+def test_rounded_sums_are_exact():
+    """The rounded network against whole-number arithmetic, to the last bit."""
+    net = convnet.Rounded.of(convnet.Network.new(3))
+    for text in (prose(2, 300).encode(), b"", b"\xff" * 700):
+        data, offsets = wordvec.buffers(pa.array([text]))
+        k = int(convnet.n_chunks(np.array([len(text)]))[0])
+        bytes_, filters = net.bytes_.astype(np.int64), net.filters.astype(np.int64)
+        found = []
+        for a in range(k):
+            chunk = text[a * convnet.STEP :][: convnet.CHUNK].ljust(convnet.CHUNK, b"\0")
+            places = range(0, convnet.CHUNK - convnet.WIDTH + 1, convnet.STRIDE)
+            found.append(np.max([bytes_[list(chunk[p : p + convnet.WIDTH])].reshape(-1) @ filters for p in places], 0))
+        found = np.maximum(np.array(found) + net.bias, 0)
+        z = net.offset
+        for f in range(convnet.FILTERS):
+            z = z + found[:, f].sum() / k * net.mean[f] + found[:, f].max() * net.max_[f]
+        assert net.probabilities(data, offsets)[0] == 1 / (1 + np.exp(-z))
 
 
 def test_gradients_lower_the_loss():
