@@ -15,9 +15,10 @@ otherwise ``resolved``; a null time is before all others; repeated rows are each
 resolved. Header names are compared in lower case. An empty table gives no rows.
 
 Data sizes: only keys, times, validators and headers of responses are moved, not bodies.
-A URL's records are split by time into as many slices as there are shuffle partitions,
-256 at most, at quantiles of all times; in a slice the latest response is found by a window, and each
-slice's last response is handed on to later slices of its URL, one row a slice.
+All records are split into ranges of about equal length by URL, time and record id, so that
+a URL with a third of all rows, or many of one time or none, lies in many ranges; in a range the
+latest response is found by a window, and each range's last response is handed on to later
+ranges of its URL, one row a range.
 """
 
 from __future__ import annotations
@@ -30,8 +31,6 @@ from docloom.llm import scratch
 #: Headers that a 304 answer may update (RFC 9110, section 15.4.5; RFC 9111, section 3.2).
 PERMITTED = ("cache-control", "content-location", "date", "etag", "expires", "vary", "last-modified", "age")
 TRACKING = r"^(utm_[^=]*|ref|fbclid|gclid|session(id)?|sid)(=.*)?$"
-#: A URL's records are split by time into so many slices at most.
-MOST_SLICES = 256
 MOBILE = r"^(www|m|mobile|amp)\."
 
 
@@ -68,23 +67,23 @@ def _etag(value: Column) -> Column:
 
 
 def resolved(records: DataFrame, *, slices: int | None = None) -> DataFrame:
-    """One row a revisit: record_id, url_key, response_id, status, checked (the validators that were compared) and headers.
+    """slices: how many ranges (None: as many as shuffle partitions). One row a revisit: record_id, url_key, response_id, status, checked (the validators that were compared) and headers.
 
     records: record_id, url, ts, kind ('response' or 'revisit'), status, etag,
     last_modified, digest and headers (map<string,string>); a full response has status 200.
     """
-    spark = records.sparkSession
-    slices = slices or min(MOST_SLICES, scratch.partitions(spark))
+    slices = slices or scratch.partitions(records.sparkSession)
     rows = records.select(
         "record_id", canonical(F.col("url")).alias("url_key"), "ts", "kind", "status", _etag(F.col("etag")).alias("etag"),
         F.trim("last_modified").alias("last_modified"), F.lower(F.trim("digest")).alias("digest"), "headers",
     ).where("kind = 'revisit' or (kind = 'response' and status = 200)")
     rows = scratch.written(rows, "warc-records")
-    cuts = rows.agg(F.percentile_approx(F.col("ts").cast("double"), [k / slices for k in range(1, slices)], 10_000)).first()[0] if slices > 1 else None
-    marks = F.array(*[F.lit(float(x)) for x in sorted(set(cuts or []))]).cast("array<double>")
-    part = F.coalesce(F.size(F.filter(marks, lambda x: x < F.col("ts").cast("double"))), F.lit(0))
+    # Rows repeated as a whole may be in several ranges, by their place in the written table.
+    rows = rows.withColumn("nth", F.monotonically_increasing_id())
+    rows = rows.repartitionByRange(slices, F.col("url_key").asc_nulls_first(), F.col("ts").asc_nulls_first(), F.col("record_id").asc_nulls_first(), F.col("kind"), F.col("nth"))
+    rows = scratch.written(rows.withColumn("slice", F.spark_partition_id()).drop("nth"), "warc-ranges")
     held = F.struct("record_id", "etag", "last_modified", "digest", "headers")
-    rows = rows.withColumn("slice", part).withColumn("response", F.when(F.col("kind") == "response", held))
+    rows = rows.withColumn("response", F.when(F.col("kind") == "response", held))
     keyed = rows.where("url_key is not null")
     order = [F.col("ts").asc_nulls_first(), F.col("record_id").asc_nulls_first(), F.col("kind")]
     inner = Window.partitionBy("url_key", "slice").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
@@ -115,26 +114,44 @@ def resolved(records: DataFrame, *, slices: int | None = None) -> DataFrame:
 
 
 def captures(pages: DataFrame) -> DataFrame:
-    """Records made of a table of pages (page_id, url, html): of each page a full response and, later, a revisit.
-
-    Page p is answered in full at second 10 p with its digest, an ETag and headers. At
-    second 10 p + 5 a client that had seen the page asks again and is told that it was not
-    modified; it names the ETag and, every other time, the digest that it knows. A page of
-    odd id has an ETag of its URL's own, which all captures of the URL share.
+    """Records made of a table of pages (page_id, url, html), as of a crawl that comes by some addresses often.
+
+    Page p is fetched at second 10 p (every eleventh time the answer is a 404) and asked for
+    again at second 10 p + 5. Besides, each page sees a fetch of an address that many pages
+    share, the front page of its domain or a section of its host, at second 10 (p - p % 4): every fifth
+    one is a full response, the others are revisits. The shared address has a new ETag every
+    97 pages, a new Last-Modified every 61 and a new body every 41, so that clients' validators
+    may be older or newer than the latest response; some have none, some an ETag of before.
     """
+    p = F.col("page_id")
+    text = p.cast("string")
     digest = F.concat(F.lit("sha1:"), F.sha1(F.coalesce("html", F.lit("")).cast("binary")))
-    key = F.coalesce(canonical(F.col("url")), F.lit(""))
-    etag = F.when(F.col("page_id") % 2 == 1, F.concat(F.lit('"u'), F.substring(F.md5(key.cast("binary")), 1, 12), F.lit('"'))).otherwise(F.concat(F.lit('"'), F.substring(digest, 6, 12), F.lit('"')))
-    id_text = F.coalesce(F.col("page_id").cast("string"), F.lit("null"))
-    base = pages.select("page_id", "url", digest.alias("digest"), etag.alias("etag"), id_text.alias("n"))
-    full = base.select(
-        F.concat("n", F.lit("-response")).alias("record_id"), "url", (F.col("page_id") * 10).alias("ts"), F.lit("response").alias("kind"), F.lit(200).alias("status"),
-        "etag", F.lit(None).cast("string").alias("last_modified"), "digest",
-        F.create_map(F.lit("Content-Type"), F.lit("text/html"), F.lit("ETag"), F.col("etag"), F.lit("Date"), F.concat(F.lit("t"), (F.col("page_id") * 10).cast("string")), F.lit("X-Page"), F.col("n")).alias("headers"),
-    )
-    again = base.select(
-        F.concat("n", F.lit("-revisit")).alias("record_id"), "url", (F.col("page_id") * 10 + 5).alias("ts"), F.lit("revisit").alias("kind"), F.lit(304).alias("status"),
-        F.concat(F.lit("W/"), "etag").alias("etag"), F.lit(None).cast("string").alias("last_modified"), F.when(F.col("page_id") % 4 < 2, F.col("digest")).alias("digest"),
-        F.create_map(F.lit("Date"), F.concat(F.lit("t"), (F.col("page_id") * 10 + 5).cast("string")), F.lit("Server"), F.lit("cache"), F.lit("Cache-Control"), F.lit("max-age=60")).alias("headers"),
+    base = pages.select("page_id", "url", F.coalesce(text, F.lit("null")).alias("n"), digest.alias("digest"), canonical(F.col("url")).alias("key"))
+    base = base.withColumn("host", F.regexp_extract("key", "^[^/?]*", 0)).withColumn("section", F.regexp_extract("key", "^[^/?]*/([^/?]*)", 1))
+    base = base.withColumn("topic", F.when(p % 2 == 0, F.regexp_extract("host", r"[^.]+\.[^.]+$", 0)).otherwise(F.concat("host", F.lit("/"), "section")))
+    shared = F.when(p % 2 == 0, F.concat(F.lit("HTTP://www."), "topic", F.lit(":80/index.html?utm_source="), text)).otherwise(F.concat(F.lit("https://m."), "topic", F.lit("/#n"), text))
+    of = lambda every, less=0: F.concat("topic", F.lit(":"), (F.floor(p / every) - less).cast("string")).cast("binary")
+    quoted = lambda x: F.concat(F.lit('"'), x, F.lit('"'))
+    etag = lambda less=0: quoted(F.substring(F.md5(of(97, less)), 1, 12))
+    modified, body = F.concat(F.lit("day "), F.floor(p / 61).cast("string")), F.concat(F.lit("sha1:"), F.sha1(of(41)))
+    own = quoted(F.substring("digest", 6, 12))
+    none = F.lit(None).cast("string")
+
+    def record(rows: DataFrame, name: str, url: Column, ts: Column, full: Column, status: Column, etag: Column, last_modified: Column, digest: Column) -> DataFrame:
+        date = F.concat(F.lit("t"), ts.cast("string"))
+        answer = F.create_map(F.lit("Content-Type"), F.lit("text/html"), F.lit("ETag"), etag, F.lit("Date"), date, F.lit("X-Page"), F.col("n"))
+        short = F.create_map(F.lit("Date"), date, F.lit("Server"), F.lit("cache"), F.lit("Cache-Control"), F.lit("max-age=60"))
+        return rows.select(
+            F.concat("n", F.lit(name)).alias("record_id"), url.alias("url"), ts.alias("ts"), F.when(full, "response").otherwise("revisit").alias("kind"),
+            F.when(full, status).otherwise(304).cast("int").alias("status"), etag.alias("etag"), last_modified.alias("last_modified"), digest.alias("digest"),
+            F.when(full, answer).otherwise(short).alias("headers"),
+        )
+
+    fetched = record(base, "-page", F.col("url"), p * 10, F.lit(True), F.when(p % 11 == 5, 404).otherwise(200), own, none, F.col("digest"))
+    asked = record(base, "-again", F.when(p % 13 != 6, F.col("url")), p * 10 + 5, F.lit(False), F.lit(304), F.concat(F.lit("W/"), own), none, F.when(p % 4 < 2, F.col("digest")))
+    full, k = p % 5 == 0, p % 7
+    met = record(
+        base, "-shared", shared, (p - p % 4) * 10, full, F.lit(200),
+        F.when(full, etag()).when(k.isin(1, 2, 6), F.concat(F.lit("W/"), etag())).when(k == 3, etag(1)), F.when(full | (k == 4), modified), F.when(full, body).when(k.isin(5, 6), F.upper(body)),
     )
-    return full.unionByName(again)
+    return fetched.unionByName(asked).unionByName(met)

@@ -1,21 +1,26 @@
 """Quality rules whose cutoffs are chosen under a bound on false rejection.
 
-For each stratum (language) and rule, cutoffs go from loose to strict as long as the
-exact binomial (Clopper-Pearson) upper bound of the share of good documents that the rule
-rejects stays within the rule's part of the allowed share. The tests of a rule are in a
-fixed sequence that ends at the first failure, so the level is divided by the number of
-strata and rules alone (Bonferroni). Of the cutoffs that pass, that is taken which rejects
+Each rule has cutoffs from a loose to a strict one in STEPS equal steps, fixed beforehand.
+One path takes all rules together from loose to strict: at step s every rule has its s-th
+cutoff, and a document's step is the first at which some rule rejects it. For each stratum
+(language) the path is followed as long as the exact binomial (Clopper-Pearson) upper bound
+of the share of good documents that are rejected stays within the allowed share. These
+tests are a fixed sequence that ends at the first failure, so the level is divided by the
+number of strata alone (Bonferroni): with level 0.05 and four strata, all cutoffs chosen
+keep the allowed share with probability 0.95, and 217 good labels of which none is
+rejected are enough for a first step. Of the steps that pass, that is taken which rejects
 the most bad labels, a good one weighing as much as GOOD_WEIGHT bad ones. A stratum with
-too few labels for any cutoff has no cutoff for that rule, and its documents stay.
+too few labels for any step has no cutoffs, and its documents stay.
 
-Defined results: a null or empty text has no words and fails the base rules; a null
-stratum is a stratum; a document whose labels contradict each other is not used for the
-cutoffs; a null label is none; repeated rows get equal results and an empty table none.
-With no labels at all, the base rules alone decide. Other columns are ignored.
+Defined results: a null or empty text has no words and fails the base rules; a very long
+text is measured whole; a null stratum is a stratum; a document whose labels contradict
+each other is not used for the cutoffs; a null label is none; repeated rows get equal
+results and an empty table none. With no labels at all, the base rules alone decide. Other
+columns are ignored.
 
 Data sizes: texts are read once for one narrow row a document; labels meet these rows in a
-join by id, are counted by stratum, rule and step, and the cutoffs of a stratum come from
-at most RULES x STEPS counts.
+join by id, are counted by stratum and step, and the cutoffs of a stratum come from at most
+STEPS + 1 counts.
 """
 
 from __future__ import annotations
@@ -112,22 +117,37 @@ def _rate(top: str, below: str) -> Column:
     return F.coalesce(F.col(top) / F.when(F.col(below) > 0, F.col(below)), F.lit(0.0))
 
 
-
-
-def rules() -> dict[str, tuple[Column, float]]:
-    """Name: the value and the highest cutoff."""
+def rules() -> dict[str, tuple[Column, float, float]]:
+    """Name: the value, and the loosest and the strictest cutoff. A value above a cutoff is rejected."""
     mean = _rate("word_chars", "n_words")
     return {
-        "symbols": (_rate("n_symbols", "n_words"), 1.0),
-        "dup_lines": (_rate("n_dup_lines", "n_lines"), 1.0),
-        "repeats": (_rate("n_repeat_words", "n_words"), 0.3),
-        "upper": (_rate("n_upper", "word_chars"), 1.0),
-        "bangs": (_rate("n_bangs", "n_words"), 1.0),
-        "long_words": (mean, 40.0),
-        "short_words": (F.lit(8.0) - mean, 8.0),
+        "symbols": (_rate("n_symbols", "n_words"), 1.0, 0.02),
+        "dup_lines": (_rate("n_dup_lines", "n_lines"), 1.0, 0.15),
+        "repeats": (_rate("n_repeat_words", "n_words"), 0.3, 0.1),
+        "upper": (_rate("n_upper", "word_chars"), 1.0, 0.05),
+        "bangs": (_rate("n_bangs", "n_words"), 1.0, 0.02),
+        "long_words": (mean, 40.0, 6.0),
+        "short_words": (F.lit(8.0) - mean, 8.0, 4.0),
     }
 
 
+def width(loose: float, strict: float) -> float:
+    """Between two steps of a rule's cutoffs; step 0 is the loosest, step STEPS - 1 the strictest."""
+    return (loose - strict) / (STEPS - 1)
+
+
+def _step(value: Column, loose: float, strict: float) -> Column:
+    """The first step whose cutoff is below the value; STEPS if none is."""
+    first = F.floor((F.lit(loose) - value) / F.lit(width(loose, strict))) + F.when(value > F.lit(loose), 0).otherwise(1)
+    return F.least(F.lit(STEPS), F.greatest(F.lit(0), first)).cast("int")
+
+
+def stepped(stats: DataFrame) -> DataFrame:
+    """stats with step (the first that rejects the document) and steps (of each rule)."""
+    each = [_step(*rule).alias(name) for name, rule in rules().items()]
+    return stats.withColumn("steps", F.struct(*each)).withColumn("step", F.least(*[F.col(f"steps.{name}") for name in rules()]))
+
+
 def binomial_below(k: int, n: int, p: float) -> float:
     """P(X <= k) of a binomial variable."""
     if k >= n:
@@ -157,35 +177,26 @@ def chosen(good: np.ndarray, bad: np.ndarray, share: float, level: float) -> int
 
 
 def cutoffs(stats: DataFrame, labels: DataFrame, *, allowed: float = ALLOWED, level: float = LEVEL, label_col: str = "quality") -> DataFrame:
-    """stratum and one column a rule: its cutoff, null where none is sure."""
+    """stratum, cut (the chosen step, null where none is sure) and one column a rule: its cutoff there."""
     table = rules()
     right = labels.select(F.col("doc_id").alias("_id"), F.col(label_col).alias("label")).where("label is not null and _id is not null")
     right = right.groupBy("_id").agg(F.min("label").alias("label"), F.max("label").alias("_top")).where("label = _top")
-    held = stats.where(~base_failed()).join(right, F.col("doc_id") == F.col("_id"))
-    steps = F.array(*[
-        F.struct(F.lit(name).alias("rule"), F.least(F.lit(STEPS), F.greatest(F.lit(0), F.floor((F.lit(top) - value) / F.lit(top / STEPS)) + F.when(value > F.lit(top), 0).otherwise(1))).cast("int").alias("step"))
-        for name, (value, top) in table.items()
-    ])
-    counts = held.select("stratum", "label", F.explode(steps).alias("s")).groupBy("stratum", "s.rule", "s.step").agg(
-        F.count_if(F.col("label") > 0).alias("good"), F.count_if(F.col("label") <= 0).alias("bad")
-    )
+    held = stepped(stats.where(~base_failed())).join(right, F.col("doc_id") == F.col("_id"))
+    counts = held.groupBy("stratum", "step").agg(F.count_if(F.col("label") > 0).alias("good"), F.count_if(F.col("label") <= 0).alias("bad"))
     counts = scratch.written(counts, "rules-counts")
-    n_strata = counts.select("stratum").distinct().count()
-    tests = max(1, n_strata * len(table))
-    tops = {name: top for name, (_, top) in table.items()}
+    tests = max(1, counts.select("stratum").distinct().count())
+    edges = {name: (loose, width(loose, strict)) for name, (_, loose, strict) in table.items()}
 
     def choose(rows: pd.DataFrame) -> pd.DataFrame:
-        out = {"stratum": [rows["stratum"].iloc[0]]}
-        for name, top in tops.items():
-            own = rows[rows["rule"] == name]
-            good, bad = np.zeros(STEPS + 1, np.int64), np.zeros(STEPS + 1, np.int64)
-            np.add.at(good, own["step"].to_numpy(), own["good"].to_numpy())
-            np.add.at(bad, own["step"].to_numpy(), own["bad"].to_numpy())
-            step = chosen(good, bad, allowed / len(tops), level / tests)
-            out[name] = [None if step is None else top - step * (top / STEPS)]
-        return pd.DataFrame(out).astype({name: "float64" for name in tops})
-
-    schema = "stratum string, " + ", ".join(f"{name} double" for name in table)
+        good, bad = np.zeros(STEPS + 1, np.int64), np.zeros(STEPS + 1, np.int64)
+        np.add.at(good, rows["step"].to_numpy(), rows["good"].to_numpy())
+        np.add.at(bad, rows["step"].to_numpy(), rows["bad"].to_numpy())
+        step = chosen(good, bad, allowed, level / tests)
+        out = {"stratum": [rows["stratum"].iloc[0]], "cut": pd.array([step], "Int32")}
+        out |= {name: [None if step is None else loose - step * by] for name, (loose, by) in edges.items()}
+        return pd.DataFrame(out).astype({name: "float64" for name in edges})
+
+    schema = "stratum string, cut int, " + ", ".join(f"{name} double" for name in table)
     return scratch.written(counts.groupBy("stratum").applyInPandas(choose, schema), "rules-cutoffs")
 
 
@@ -193,8 +204,8 @@ def judged(docs: DataFrame, labels: DataFrame, *, allowed: float = ALLOWED, leve
     """doc_id, stratum, the columns of STATS, base_failed, failed (the rules that a document fails) and kept."""
     stats = scratch.written(measured(docs, id_col=id_col, text_col=text_col, stratum_col=stratum_col), "rules-stats")
     sure = cutoffs(stats, labels, allowed=allowed, level=level)
-    met = mixing.joined(stats, sure, "stratum")
-    failed = F.array_compact(F.array(*[F.when(value > F.col(name), F.lit(name)) for name, (value, _) in rules().items()]))
+    met = mixing.joined(stepped(stats), sure.select("stratum", "cut"), "stratum")
+    failed = F.array_compact(F.array(*[F.when(F.col(f"steps.{name}") <= F.col("cut"), F.lit(name)) for name in rules()]))
     met = met.withColumn("base_failed", base_failed()).withColumn("failed", failed)
     names = [x.split()[0] for x in STATS.split(", ")]
     return met.select("doc_id", "stratum", *names, "base_failed", "failed", (~F.col("base_failed") & (F.size("failed") == 0)).alias("kept"))

@@ -70,24 +70,37 @@ _HOST = f"regexp_replace(regexp_replace(lower(regexp_replace(regexp_extract(rest
 _PATH = "regexp_replace(regexp_replace(regexp_extract(rest, '^[^/?]*([^?]*)', 1), '/index\\.[A-Za-z]+$', '/'), '/+$', '')"
 _KEPT = f"list_sort(list_filter(string_split(regexp_extract(rest, '\\?(.*)$', 1), '&'), lambda x: x <> '' and not regexp_matches(x, '{revisits.TRACKING}')))"
 _WARC = f"""
-with bare as (select page_id, sha1(coalesce(html, '')) as h, regexp_replace(regexp_replace(trim(url), '#.*$', ''), '^[A-Za-z][A-Za-z0-9+.\\-]*://', '') as rest from pages),
-keyed as (select page_id, h, {_HOST} || {_PATH} || case when len({_KEPT}) > 0 then '?' || array_to_string({_KEPT}, '&') else '' end as url_key, {_HOST} as host from bare),
-recs as (select page_id, h, case when host <> '' then url_key end as url_key,
-  case when page_id % 2 = 1 then '"u' || substr(md5(coalesce(case when host <> '' then url_key end, '')), 1, 12) || '"' else '"' || substr(h, 1, 12) || '"' end as etag from keyed),
-met as (select v.*, r.page_id as p, r.h as rh, r.etag as retag from recs v asof left join recs r on v.url_key = r.url_key and v.page_id >= r.page_id),
-judged as (select *, page_id % 4 < 2 as named, case when p is null then 'no-response' when etag <> retag or (page_id % 4 < 2 and h <> rh) then 'validator-mismatch' else 'resolved' end as status from met)
-select page_id || '-revisit' as record_id, url_key, case when p is not null then p || '-response' end as response_id, status,
-  case when p is null then '' when named then 'etag,digest' else 'etag' end as checked,
-  case when status = 'resolved' then 'cache-control=max-age=60;content-type=text/html;date=t' || (page_id * 10 + 5) || ';etag=' || retag || ';x-page=' || p
-    else 'cache-control=max-age=60;date=t' || (page_id * 10 + 5) || ';server=cache' end as headers
+with seen as (select page_id as p, url, sha1(coalesce(html, '')) as h, regexp_replace(regexp_replace(trim(url), '#.*$', ''), '^[A-Za-z][A-Za-z0-9+.\\-]*://', '') as rest from pages),
+told as (select p, url, h, {_HOST} as host, regexp_extract({_HOST} || {_PATH}, '^[^/]*/([^/?]*)', 1) as section from seen),
+named as (select *, case when host = '' then null when p % 2 = 0 then regexp_extract(host, '[^.]+\\.[^.]+$') else host || '/' || section end as topic from told),
+recs as (
+  select p, p || '-page' as id, url, p * 10 as ts, 1 as whole, p % 11 <> 5 as good, '"' || substr(h, 1, 12) || '"' as etag, null as lm, 'sha1:' || h as digest from named
+  union all
+  select p, p || '-again', case when p % 13 <> 6 then url end, p * 10 + 5, 0, true, '"' || substr(h, 1, 12) || '"', null, case when p % 4 < 2 then 'sha1:' || h end from named
+  union all
+  select p, p || '-shared', case when p % 2 = 0 then 'http://' else 'https://' end || topic, (p - p % 4) * 10, (p % 5 = 0)::int, true,
+    case when p % 5 = 0 or p % 7 in (1, 2, 6) then '"' || substr(md5(topic || ':' || (p // 97)), 1, 12) || '"' when p % 7 = 3 then '"' || substr(md5(topic || ':' || (p // 97 - 1)), 1, 12) || '"' end,
+    case when p % 5 = 0 or p % 7 = 4 then 'day ' || (p // 61) end, case when p % 5 = 0 or p % 7 in (5, 6) then 'sha1:' || sha1(topic || ':' || (p // 41)) end from named),
+bare as (select * exclude (url), regexp_replace(regexp_replace(trim(url), '#.*$', ''), '^[A-Za-z][A-Za-z0-9+.\\-]*://', '') as rest from recs where good),
+keyed as (select *, case when {_HOST} <> '' then {_HOST} || {_PATH} || case when len({_KEPT}) > 0 then '?' || array_to_string({_KEPT}, '&') else '' end end as url_key from bare),
+met as (select *, case when url_key is not null then last_value(case when whole = 1 then {{'id': id, 'p': p, 'etag': etag, 'lm': lm, 'digest': digest, 'ts': ts}} end ignore nulls)
+  over (partition by url_key order by ts, id rows between unbounded preceding and current row) end as r from keyed),
+compared as (select *, [case when etag <> '' and r.etag <> '' then 'etag' end, case when lm <> '' and r.lm <> '' then 'last_modified' end, case when digest <> '' and r.digest <> '' then 'digest' end] as c from met where whole = 0),
+judged as (select *, list_filter(c, lambda x: x is not null) as cs, case when r is null then 'no-response'
+  when coalesce(etag <> r.etag, false) or coalesce(lm <> r.lm, false) or coalesce(digest <> r.digest, false) then 'validator-mismatch'
+  when len(list_filter(c, lambda x: x is not null)) = 0 then 'unvalidated' else 'resolved' end as status from compared)
+select id as record_id, url_key, r.id as response_id, status, case when r is null then '' else array_to_string(cs, ',') end as checked,
+  case when status = 'resolved' then 'cache-control=max-age=60;content-type=text/html;date=t' || ts || ';etag=' || r.etag || ';x-page=' || r.p
+    else 'cache-control=max-age=60;date=t' || ts || ';server=cache' end as headers
 from judged"""
 
 _RULES = {
-    "symbols": ("n_symbols / n_words", 1.0), "dup_lines": ("coalesce(n_dup_lines / nullif(n_lines, 0), 0)", 1.0), "repeats": ("n_repeat_words / n_words", 0.3),
-    "upper": ("n_upper / word_chars", 1.0), "bangs": ("n_bangs / n_words", 1.0), "long_words": ("word_chars / n_words", 40.0), "short_words": ("8.0 - word_chars / n_words", 8.0),
+    "symbols": ("n_symbols / n_words", 1.0, 0.02), "dup_lines": ("coalesce(n_dup_lines / nullif(n_lines, 0), 0)", 1.0, 0.15), "repeats": ("n_repeat_words / n_words", 0.3, 0.1),
+    "upper": ("n_upper / word_chars", 1.0, 0.05), "bangs": ("n_bangs / n_words", 1.0, 0.02), "long_words": ("word_chars / n_words", 40.0, 6.0), "short_words": ("8.0 - word_chars / n_words", 8.0, 4.0),
 }
-_S, _SHARE = rules.STEPS, rules.ALLOWED / len(_RULES)
-_VALUES = ", ".join(f"{{'rule': '{name}', 'v': ({value})::double, 'top': {top}::double}}" for name, (value, top) in _RULES.items())
+_S, _SHARE = rules.STEPS, rules.ALLOWED
+_FIRST = ", ".join(f"floor(({loose}::double - v{k}) / {(loose - strict) / (_S - 1)!r}::double) + case when v{k} > {loose} then 0 else 1 end" for k, (_, loose, strict) in enumerate(_RULES.values()))
+_VALUES = ", ".join(f"({value})::double as v{k}" for k, (value, _, _) in enumerate(_RULES.values()))
 _QUALITY = f"""
 with docs as (select row_number() over () as rid, doc_id, lang, coalesce(text, '') as text from documents),
 ws as (select rid, {_WORDS} as w from docs),
@@ -101,19 +114,19 @@ stats as (
   from docs d join ws using (rid) left join lines l using (rid) left join covered c using (rid)),
 judged as (select *, n_words < 20 or 100 * n_repeat_words > 30 * n_words as base_failed from stats),
 good as (select doc_id, min(quality) as q from labels where quality is not null group by doc_id having min(quality) = max(quality)),
-flat as (select rid, lang, q, unnest([{_VALUES}], recursive := true) from judged left join good using (doc_id) where not base_failed),
-stepped as (select *, least({_S}, greatest(0, floor((top - v) / (top / {_S}.0)) + case when v > top then 0 else 1 end))::int as step from flat),
-counts as (select lang, rule, any_value(top) as top, step, count(*) filter (q > 0) as good, count(*) filter (q <= 0) as bad from stepped where q is not null group by lang, rule, step),
-tests as (select greatest(1, count(distinct coalesce(lang, '')) * {len(_RULES)}) as m from counts),
-full_ as (select g.lang, g.rule, g.top, s.step, coalesce(c.good, 0) as good, coalesce(c.bad, 0) as bad
-  from (select distinct lang, rule, top from counts) g cross join (select unnest(range({_S} + 1)) as step) s left join counts c on c.lang is not distinct from g.lang and c.rule = g.rule and c.step = s.step),
-summed as (select *, sum(good) over w as g, sum(bad) over w as b, sum(good) over (partition by lang, rule) as n from full_ window w as (partition by lang, rule order by step)),
+valued as (select rid, lang, q, {_VALUES} from judged left join good using (doc_id) where not base_failed),
+stepped as (select rid, lang, q, least({_S}, greatest(0, least({_FIRST})))::int as step from valued),
+counts as (select lang, step, count(*) filter (q > 0) as good, count(*) filter (q <= 0) as bad from stepped where q is not null group by lang, step),
+tests as (select greatest(1, count(distinct coalesce(lang, ''))) as m from counts),
+full_ as (select g.lang, s.step, coalesce(c.good, 0) as good, coalesce(c.bad, 0) as bad
+  from (select distinct lang from counts) g cross join (select unnest(range({_S} + 1)) as step) s left join counts c on c.lang is not distinct from g.lang and c.step = s.step),
+summed as (select *, sum(good) over w as g, sum(bad) over w as b, sum(good) over (partition by lang) as n from full_ window w as (partition by lang order by step)),
 bound as (
   select *, n > 0 and g < n * {_SHARE!r} and list_sum(list_transform(range((g + 1)::int), lambda i: exp(lgamma(n + 1) - (case when i > 0 then lgamma(i + 1) else 0 end) - lgamma(n - i + 1) + i * ln({_SHARE!r}) + (n - i) * ln(1 - {_SHARE!r})))) <= {rules.LEVEL} / m as ok
   from summed, tests where step < {_S}),
-sure as (select *, b - {rules.GOOD_WEIGHT} * g as value from (select *, bool_and(ok) over (partition by lang, rule order by step) as all_ok from bound) where all_ok),
-cuts as (select lang, rule, any_value(top) - arg_max(step, value * 1000 - step) * (any_value(top) / {_S}.0) as cutoff from sure where value > 0 group by lang, rule),
-failed as (select distinct f.rid from flat f join cuts c on f.lang is not distinct from c.lang and f.rule = c.rule where f.v > c.cutoff)
+sure as (select *, b - {rules.GOOD_WEIGHT} * g as value from (select *, bool_and(ok) over (partition by lang order by step) as all_ok from bound) where all_ok),
+cuts as (select lang, arg_max(step, value * 1000 - step) as cut from sure where value > 0 group by lang),
+failed as (select s.rid from stepped s join cuts c on s.lang is not distinct from c.lang where s.step <= c.cut)
 select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, not base_failed and rid not in (select rid from failed) as kept from judged"""
 
 SQL: dict[str, str] = {

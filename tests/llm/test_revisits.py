@@ -78,3 +78,29 @@ def test_headers(spark):
 def test_empty_table(spark):
     assert revisits.resolved(table(spark, [])).count() == 0
     assert revisits.resolved(table(spark, [record("a", "http://e.org/", 1)])).count() == 0
+
+
+def test_the_query_needs_the_join(spark):
+    """Over the given pages all statuses come up, and most revisits are resolved to another page's response."""
+    from docloom.llm.queries import op6_warc_revisits
+
+    rows = op6_warc_revisits(spark, "/root/testdata/sf0.01").collect()
+    assert {r.status for r in rows} == {"resolved", "validator-mismatch", "unvalidated", "no-response"} and any(r.url_key is None for r in rows)
+    page = lambda name: name.split("-")[0]
+    assert sum(r.response_id is not None and page(r.response_id) != page(r.record_id) for r in rows) > 50
+    assert {c for r in rows for c in r.checked.split(",")} == {"", "etag", "last_modified", "digest"}
+
+
+def test_captures_of_awkward_pages(spark):
+    pages = spark.createDataFrame([(None, None, None, "x"), (0, "", "", "y"), (1, "http://", None, "z"), (5, "http://e.org/en/a?x=1", "h", "w"), (5, "http://e.org/en/a?x=1", "h", "w")], "page_id long, url string, html string, slice string")
+    out = revisits.resolved(revisits.captures(pages)).collect()
+    assert sorted(r.record_id for r in out if r.record_id.endswith("-again")) == ["0-again", "1-again", "5-again", "5-again", "null-again"]
+    assert all(r.status == "no-response" for r in out if r.url_key is None) and sum(r.url_key is None for r in out) >= 3
+
+
+def test_one_url_lies_in_many_ranges(spark):
+    """Rows of one URL, of one time, without a time, and repeated as a whole."""
+    rows = [record(f"r{k:03d}", "http://e.org/", None if k % 2 else 5, "revisit" if k % 3 else "response", etag=str(k % 4)) for k in range(200)] + [record("v", "http://e.org/", 5, "revisit", etag="x")] * 100
+    df = table(spark, rows)
+    out = revisits.resolved(df, slices=9).select("record_id", "response_id", "status").collect()
+    assert sorted(map(tuple, out), key=repr) == plain(rows, {"http://e.org/": "e.org"})

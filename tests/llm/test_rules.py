@@ -62,6 +62,43 @@ def test_the_sequence_of_tests_ends_at_the_first_failure():
     assert rules.chosen(np.zeros(rules.STEPS + 1, int), bad, 0.02, 0.01) is None
 
 
+def test_steps_and_cutoffs_agree(spark):
+    """A document is rejected at a step just where some value is above its rule's cutoff there."""
+    docs = documents(spark, [(k, t) for k, t in enumerate(awkward())] + [(900 + k, prose(k, 25) + " $" * k) for k in range(30)])
+    rows = rules.stepped(rules.measured(docs)).select("step", "steps", *[v.alias(f"v_{n}") for n, (v, _, _) in rules.rules().items()]).collect()
+    for r in rows:
+        first = rules.STEPS
+        for name, (_, loose, strict) in rules.rules().items():
+            own = [s for s in range(rules.STEPS) if r[f"v_{name}"] > loose - s * rules.width(loose, strict) + 1e-9]
+            low = [s for s in range(rules.STEPS) if r[f"v_{name}"] > loose - s * rules.width(loose, strict) - 1e-9]
+            assert (low or [rules.STEPS])[0] <= r.steps[name] <= (own or [rules.STEPS])[0]
+            first = min(first, r.steps[name])
+        assert r.step == first
+
+
+def test_the_allowed_share_is_kept_as_often_as_the_level_says():
+    """Strata of 400 good labels, each step rejecting a known share of good texts: the chosen step's true share is over the limit in 5 % of the trials at most."""
+    g = np.random.default_rng(5)
+    share = np.concatenate([np.linspace(0.0005, 0.05, rules.STEPS), [1.0]])  # of good texts rejected up to a step
+    p = np.diff(share, prepend=0)
+    over = used = 0
+    for _ in range(400):
+        bad = np.concatenate([np.full(rules.STEPS, 20), [0]])
+        step = rules.chosen(g.multinomial(400, p), bad, 0.02, 0.05)
+        used += step is not None
+        over += step is not None and share[step] > 0.02
+    assert used > 200 and over <= 0.05 * 400 + 3 * (400 * 0.05 * 0.95) ** 0.5
+
+
+def test_the_query_rejects_by_its_cutoffs(spark):
+    """On the given tables some texts are rejected that the base rules let through, and hardly a good one."""
+    for sf in ("sf0.01", "sf0.1"):
+        docs, marks = (spark.read.parquet(f"/root/testdata/{sf}/{t}.parquet") for t in ("documents", "labels"))
+        out = rules.judged(docs, marks).join(marks, "doc_id").where("not base_failed")
+        bad, good = (out.where(f"quality = {k}") for k in (0, 1))
+        assert bad.where("not kept").count() > 0.3 * bad.count() and good.where("not kept").count() <= 0.02 * good.count()
+
+
 def corpus(n=3000):
     rows, marks = [], []
     for i in range(n):
