@@ -32,7 +32,7 @@ from docloom.llm import folds, tokens, wordvec
 CHUNK, STEP = 256, 224
 WIDTH, STRIDE, CHANNELS, FILTERS = 10, 2, 8, 64
 PER_LABEL = 2500
-EPOCHS, LEAST_STEPS, BATCH, RATE, DECAY = 12, 600, 48, 0.004, 1e-4
+EPOCHS, LEAST_STEPS, BATCH, RATE, DECAY = 3, 600, 12, 0.012, 1e-4
 #: Chunks that are convolved at once.
 BLOCK = 96
 #: A byte's values and a filter's weights are rounded to whole numbers from -LEVELS to LEVELS: a filter's sum stays below 2**24, so 32-bit floats hold it exactly.
