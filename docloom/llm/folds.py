@@ -29,3 +29,13 @@ def sampled(docs: DataFrame, labels: DataFrame, label_col: str, *, folds: int, h
     texts = docs.select(F.col(f"`{id_col}`").alias("_id"), F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("text"))
     texts = texts.join(chosen, "_id").dropDuplicates(["_id"])
     return texts, {k: n / min(n, per_label) for k, n in total.items()}
+
+
+def unlabelled(docs: DataFrame, labels: DataFrame, label_col: str, *, folds: int, held_out: int, most: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """_id, text and label (null) of at most so many rows outside the held-out fold that have no label: those with the least hashes of their ids."""
+    known = labels.where(F.col(label_col).isNotNull()).select(F.col("doc_id").alias("_id")).distinct()
+    ids = docs.select(F.col(f"`{id_col}`").alias("_id")).where(remainder(F.col("_id"), folds) != held_out)
+    ids = ids.join(known, "_id", "left_anti").orderBy(F.xxhash64("_id"), F.col("_id")).limit(most)
+    texts = docs.select(F.col(f"`{id_col}`").alias("_id"), F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("text"))
+    texts = texts.join(F.broadcast(scratch.written(ids.distinct(), "train-free")), "_id").dropDuplicates(["_id"])  # at most `most` ids
+    return texts.withColumn("label", F.lit(None).cast("int"))

@@ -1,21 +1,25 @@
 """Toxicity by weak supervision.
 
-Voters look at a text: terms of a seed lexicon and of a lexicon induced from the training
-rows (words and word beginnings that labelled toxic texts have and others lack), and
+Voters look at a text: terms of a seed lexicon and of a lexicon induced from the labelled
+training rows (words and word beginnings that toxic texts have and others lack), and
 patterns (several different terms, their density, direct address, shouting, masked
-letters, none of all terms); who labelled the training rows is one voter more. A generative label model gives each voter a rate of each vote
+letters, none of all terms). A generative label model gives each voter a rate of each vote
 for toxic and for clean texts and estimates them with the texts' posteriors by expectation
-and maximization; what two voters share beyond what the class explains is their
-correlation, and correlated voters count for less. A linear classifier over the terms of
-the vocabulary is trained on the posteriors and scores every text.
+and maximization, from the majority of the votes; what two voters share beyond what the
+class explains is their correlation, and correlated voters count for less. It sees the
+votes alone, on labelled and unlabelled rows alike: labels choose the terms of the lexicon
+and the prior, but no label is a vote or a start. A linear classifier over the terms of the
+vocabulary is trained on the posteriors and scores every text.
 
 Defined results: a null or empty text has no term and gets the probability of the offset;
-equal texts get equal scores; without labelled rows of both kinds the seed lexicon alone
-decides; an empty table gives no rows. Other columns are ignored.
-
-Data sizes: the sample has at most PER_LABEL rows a label. Its terms are counted by Spark;
-the driver gets, for each row of the sample, those of at most VOCABULARY terms that it
-has. Every text is scored whole, where it is, with weights of at most VOCABULARY terms.
+equal texts get equal scores; a very long text is scored whole; without labelled rows of
+both kinds the seed lexicon alone decides; an empty table gives no rows. Other columns are
+ignored.
+
+Data sizes: the sample has at most PER_LABEL rows a label and UNLABELLED rows without one.
+Its terms are counted by Spark; the driver gets, for each row of the sample, those of at most
+VOCABULARY terms that it has. Every text is scored whole, where it is, with weights of at
+most VOCABULARY terms.
 """
 
 from __future__ import annotations
@@ -33,6 +37,8 @@ from pyspark.sql import functions as F
 from docloom.llm import folds, scratch, wordvec
 
 PER_LABEL = 3000
+#: Rows without a label that the label model and the classifier see, too.
+UNLABELLED = 3000
 VOCABULARY, VOTERS = 20_000, 256
 #: A term is in the vocabulary if so many texts of the sample have it.
 LEAST_TEXTS = 3
@@ -232,14 +238,16 @@ def _spread(ranked: list[int], common: set[int], row: np.ndarray, term: np.ndarr
     return [k for k, _ in chosen]
 
 
-def trained(docs: DataFrame, labels: DataFrame, *, label_col: str = "toxic", folds_: int = 4, held_out: int = 2, per_label: int = PER_LABEL) -> tuple[Classifier, LabelModel | None]:
+def trained(docs: DataFrame, labels: DataFrame, *, label_col: str = "toxic", folds_: int = 4, held_out: int = 2, per_label: int = PER_LABEL, unlabelled: int = UNLABELLED) -> tuple[Classifier, LabelModel | None]:
+    """The classifier, and the label model that made its targets (None: the seed lexicon decides)."""
     sample, weights = folds.sampled(docs, labels, label_col, folds=folds_, held_out=held_out, per_label=per_label)
     seeds = seed_hashes()
     alone = Classifier(seeds.copy(), np.full(len(seeds), 3.0), -3.0)
     if set(weights) != {0, 1}:
         return alone, None
     kind = sample.schema["_id"].dataType.simpleString()
-    rows = scratch.written(sample.select("_id", "text", "label").mapInArrow(_term_rows, f"_id {kind}, label int, terms array<long>, n_words long, upper double, direct long, masked boolean"), "toxic-terms")
+    more = folds.unlabelled(docs, labels, label_col, folds=folds_, held_out=held_out, most=unlabelled)
+    rows = scratch.written(sample.select("_id", "text", "label").unionByName(more).mapInArrow(_term_rows, f"_id {kind}, label int, terms array<long>, n_words long, upper double, direct long, masked boolean"), "toxic-terms")
     counted = rows.select("label", F.explode("terms").alias("term")).groupBy("term").agg(F.count_if(F.col("label") == 1).alias("pos"), F.count_if(F.col("label") == 0).alias("neg"))
     counted = counted.where(F.col("pos") + F.col("neg") >= LEAST_TEXTS)
     all_pos, all_neg = (float(x or 0) * weights[c] for c, x in zip((1, 0), counted.agg(F.sum("pos"), F.sum("neg")).first()))
@@ -260,13 +268,16 @@ def trained(docs: DataFrame, labels: DataFrame, *, label_col: str = "toxic", fol
             own = pa.ListArray.from_arrays(pa.array(cut), pa.array(at[hit].astype(np.int32)))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), own, *batch.columns[3:]], names=_TERM_NAMES)
 
-    held = rows.mapInArrow(restrict, f"_id {kind}, label int, terms array<int>, n_words long, upper double, direct long, masked boolean").toPandas()  # at most 2 * per_label rows
+    held = rows.mapInArrow(restrict, f"_id {kind}, label int, terms array<int>, n_words long, upper double, direct long, masked boolean").toPandas()  # at most 2 * per_label + unlabelled rows
     held = held.sort_values("_id", kind="stable")
     n = len(held)
     sizes = np.array([len(t) for t in held["terms"]], np.int64)
     row = np.repeat(np.arange(n), sizes)
     term = np.concatenate([np.asarray(t, np.int64) for t in held["terms"]]) if n else np.zeros(0, np.int64)
-    row_weight = np.array([weights[int(k)] for k in held["label"]], np.float64)
+    label = held["label"].to_numpy(np.float64)  # nan: none
+    row_weight = np.where(label == 1, weights[1], weights[0])
+    free = np.isnan(label)
+    row_weight[free] = row_weight[~free].sum() / max(1, free.sum())  # rows without a label weigh as much as those with one
     place = {int(t): k for k, t in enumerate(order)}
     mean = (all_pos + 1) / (all_pos + all_neg + 2)  # of all counted terms, also those outside the vocabulary
     surety = (pos + 2 * mean) / (pos + neg + 2)
@@ -277,10 +288,8 @@ def trained(docs: DataFrame, labels: DataFrame, *, label_col: str = "toxic", fol
     if not lexicon:
         return alone, None
     votes = voters(row, term, n, np.array(lexicon), *(held[c].to_numpy() for c in _TERM_NAMES[3:]))
-    prior = float(weights[1] * (held["label"] == 1).sum() / row_weight.sum())
-    marked = np.where(held["label"].to_numpy() == 1, 1, -1).astype(np.int8)
-    votes = np.concatenate([votes, marked[:, None]], 1)  # whoever labelled the sample is a voter too, and may err
-    model = LabelModel.of(votes, row_weight, prior, np.where(marked == 1, 0.95, 0.02))
+    prior = float(row_weight[label == 1].sum() / row_weight[~free].sum())
+    model = LabelModel.of(votes, row_weight, prior)
     w, b = fit_linear(row, term, n, len(order), model.posterior(votes), row_weight)
     keep = np.abs(w) > 1e-3
     return Classifier(order.view(np.uint64)[keep], w[keep], b), model

@@ -93,6 +93,73 @@ def test_label_model_tells_good_voters_from_bad_and_correlated_ones():
     assert gap[0] > gap[1] > gap[2] and model.discount[3] < 0.5 < model.discount[2] and model.correlation[3, 4] > 0.9
 
 
+def plain_model(votes, weights, prior, rounds):
+    """Expectation and maximization written out, text by text and voter by voter."""
+    n, m = len(votes), len(votes[0])
+    total = sum(weights)
+    post = []
+    for v in votes:
+        s = sum(x == 1 for x in v) - 2 * sum(x == -1 for x in v)
+        post.append(0.95 if s > 0 else 0.02 if s < 0 else prior)
+    discount = [1.0] * m
+    for k in range(rounds):
+        rates = [[None] * m, [None] * m]
+        for c in (0, 1):
+            own = [w / total * (p if c else 1 - p) for w, p in zip(weights, post)]
+            for j in range(m):
+                r = []
+                for vote in (-1, 0, 1):
+                    share = sum(v[j] == vote for v in votes) / n
+                    r.append((sum(w for w, v in zip(own, votes) if v[j] == vote) + 1e-4 * (1 + share)) / (sum(own) + 3e-4))
+                rates[c][j] = [x / sum(r) for x in r]
+        if k in (5, 15):
+            mean = [[r[2] - r[0] for r in rates[c]] for c in (0, 1)]
+            rest = [[v[j] - (1 - p) * mean[0][j] - p * mean[1][j] for j in range(m)] for v, p in zip(votes, post)]
+            dot = lambda a, b: sum(w / total * r[a] * r[b] for w, r in zip(weights, rest))
+            for a in range(m):
+                over = [dot(a, b) / (dot(a, a) ** 0.5 + 1e-9) / (dot(b, b) ** 0.5 + 1e-9) for b in range(m) if b != a]
+                discount[a] = 1 / (1 + sum(x for x in over if x > 0.1))
+        post = []
+        for v in votes:
+            z = np.log(prior / (1 - prior))
+            for j in range(m):
+                z += discount[j] * min(8, max(-8, np.log(rates[1][j][v[j] + 1]) - np.log(rates[0][j][v[j] + 1])))
+            post.append(1 / (1 + np.exp(-min(30, max(-30, z)))))
+    return rates, discount, post
+
+
+def test_label_model_equals_a_plain_one():
+    g = np.random.default_rng(9)
+    y = g.random(120) < 0.3
+    votes = np.stack([np.where(g.random(120) < np.where(y, a, b), 1, 0) for a, b in [(0.8, 0.05), (0.5, 0.1), (0.4, 0.4)]] + [np.where(g.random(120) < 0.3, -1, 0)], 1)
+    votes = np.concatenate([votes, votes[:, :1]], 1)
+    weights = g.random(120) + 0.5
+    model = toxicity.LabelModel.of(votes, weights, 0.25)
+    rates, discount, post = plain_model(votes.tolist(), weights.tolist(), 0.25, 25)
+    assert np.allclose(model.rates, rates) and np.allclose(model.discount, discount) and np.allclose(model.posterior(votes), post)
+
+
+def test_labels_are_no_votes(spark, monkeypatch):
+    """The label model sees the votes alone: rows of one text vote alike, whatever their labels, and none is a start."""
+    rows, marks = made(300)
+    text = rows[1][1]
+    rows += [(5000 + k, text) for k in range(8)]
+    marks += [(5000 + k, 1, k % 2) for k in range(4)]
+    seen, of = [], toxicity.LabelModel.of
+    monkeypatch.setattr(toxicity.LabelModel, "of", staticmethod(lambda *args: seen.append(args) or of(*args)))
+    toxicity.trained(documents(spark, rows), labels(spark, marks))
+    (votes, weights, prior), = seen
+    n = sum(zlib.crc32(str(i).encode()) % 4 != 2 for i, _ in rows)
+    assert len(votes) == n and len(set(map(tuple, votes[-sum(zlib.crc32(str(5000 + k).encode()) % 4 != 2 for k in range(8)) :].tolist()))) == 1
+
+
+def test_unlabelled_rows_are_bounded_and_outside_the_held_out_fold(spark):
+    rows, marks = made(300)
+    own = folds.unlabelled(documents(spark, rows), labels(spark, marks), "toxic", folds=4, held_out=2, most=20).collect()
+    assert len(own) == 20 and not {r["_id"] for r in own} & {i for i, _, _ in marks}
+    assert all(zlib.crc32(str(r["_id"]).encode()) % 4 != 2 and r.label is None for r in own)
+
+
 def test_the_query_on_the_given_table(spark):
     out = op5_toxicity(spark, SMALL).collect()
     marks = {r.doc_id: r.toxic for r in spark.read.parquet(f"{SMALL}/labels.parquet").collect()}
