@@ -7,8 +7,14 @@ places are taken, the fullest sequence closes. Nothing is shuffled: pieces are p
 the task that tokenized them, and a sequence's number is the task's number and a count.
 
 Defined results: a null or empty text is the end id alone; texts without a doc_id are
-packed like others; equal rows give equal pieces; an empty table gives no rows; other
-columns of the input are ignored. Only documents longer than a sequence are cut.
+packed like others; equal rows give equal pieces; a very long text is cut into as many
+pieces as it needs, and only documents longer than a sequence are cut; an empty table gives
+no rows; other columns of the input are ignored. Strings of special tokens in a text are
+ordinary text, as the files' own README has it, unless special_as_text is false.
+
+Data sizes: a task holds its open sequences' numbers and free spaces, and a bounded memory
+of the tokenizer; nothing grows with the data. At most the open sequences of each task stay
+partly empty, so tasks should be large: input partitions set their number.
 """
 
 from __future__ import annotations
@@ -65,9 +71,9 @@ class BestFit:
         return sequence
 
 
-def _cutter(vocabulary: str, end_id: int, size: int, with_ids: bool, remembered: int = REMEMBERED):
+def _cutter(vocabulary: str, end_id: int, size: int, with_ids: bool, remembered: int = REMEMBERED, special_as_text: bool = True):
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = tokens.encoder(vocabulary, remembered=remembered)
+        encode = tokens.encoder(vocabulary, special_as_text, remembered)
         end = np.array([end_id], "<u4").tobytes()
         for batch in batches:
             keys, rows = batch.column(0), ([], [], [], [], [], [])
@@ -109,9 +115,9 @@ def _schema(docs: DataFrame, id_col: str, with_ids: bool) -> str:
     return f"doc_id {docs.schema[id_col].dataType.simpleString()}, piece int, start long, length long, ids_crc32 long" + ", ids binary" * with_ids
 
 
-def pieces(docs: DataFrame, vocabulary: str, *, end_id: int = 0, size: int = SEQUENCE, with_ids: bool = True, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def pieces(docs: DataFrame, vocabulary: str, *, end_id: int = 0, size: int = SEQUENCE, with_ids: bool = True, special_as_text: bool = True, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, piece, start, length, ids_crc32 and, if wished, ids of each document's pieces."""
-    return _texts(docs, id_col, text_col).mapInArrow(_cutter(vocabulary, end_id, size, with_ids), _schema(docs, id_col, with_ids))
+    return _texts(docs, id_col, text_col).mapInArrow(_cutter(vocabulary, end_id, size, with_ids, special_as_text=special_as_text), _schema(docs, id_col, with_ids))
 
 
 def packed(parts: DataFrame, *, size: int = SEQUENCE, most_open: int = OPEN) -> DataFrame:
@@ -120,7 +126,7 @@ def packed(parts: DataFrame, *, size: int = SEQUENCE, most_open: int = OPEN) ->
     return parts.drop("sequence_id", "offset").mapInArrow(_placer(size, most_open), ", ".join([*kept, "sequence_id long", "offset long"]))
 
 
-def packed_texts(docs: DataFrame, vocabulary: str, *, end_id: int = 0, size: int = SEQUENCE, most_open: int = OPEN, with_ids: bool = True, remembered: int = REMEMBERED, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def packed_texts(docs: DataFrame, vocabulary: str, *, end_id: int = 0, size: int = SEQUENCE, most_open: int = OPEN, with_ids: bool = True, remembered: int = REMEMBERED, special_as_text: bool = True, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """pieces and packed in one step: a task's pieces are placed by the process that cuts them. remembered: pieces of texts that a worker keeps."""
-    cut, place = _cutter(vocabulary, end_id, size, with_ids, remembered), _placer(size, most_open)
+    cut, place = _cutter(vocabulary, end_id, size, with_ids, remembered, special_as_text), _placer(size, most_open)
     return _texts(docs, id_col, text_col).mapInArrow(lambda batches: place(cut(batches)), _schema(docs, id_col, with_ids) + ", sequence_id long, offset long")

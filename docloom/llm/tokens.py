@@ -19,8 +19,8 @@ from functools import lru_cache
 
 import pyarrow as pa
 
-#: Pieces that a worker remembers, in two generations of half as many.
-REMEMBERED = 1_200_000
+#: Pieces of at most so many bytes are remembered, and as many of them, in two generations of half as many: a worker's memory is bounded whatever the texts.
+LONGEST, REMEMBERED = 64, 1_200_000
 
 _STOP = rb"(?=[\s!-&(-@\[-`{-~]|\Z)"
 #: Bytes that begin a white space character beyond ASCII; such texts go to the library whole.
@@ -45,6 +45,8 @@ class _Memory(dict):
         ids = self.old.get(piece)
         if ids is None:
             ids = self.encode(piece)
+            if len(piece) > LONGEST:
+                return ids
         if len(self) >= self.half:
             self.old = dict(self)
             self.clear()
@@ -63,8 +65,10 @@ def _byte_letters() -> dict[int, str]:
 def encoder(vocabulary: str, special_as_text: bool = True, remembered: int = REMEMBERED) -> Callable[[bytes], bytes]:
     """A function from the UTF-8 bytes of a text to its ids as little-endian unsigned 32-bit integers.
 
-    No special tokens are added, and with special_as_text their strings in a text are
-    ordinary text. One encoder is kept for each file in a worker.
+    No special tokens are added. With special_as_text their strings in a text are ordinary
+    text, as the files' own README has it, so that no text can bring in a control token;
+    without, they are those tokens, as by the library's default. One encoder is kept for each
+    file in a worker.
     """
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
@@ -79,8 +83,10 @@ def encoder(vocabulary: str, special_as_text: bool = True, remembered: int = REM
         ids = tokenizer.encode(piece.decode("utf-8", "replace"), add_special_tokens=False).ids
         return struct.pack(f"<{len(ids)}I", *ids)
 
-    if not (bare or spaced) or not special_as_text and described["added_tokens"]:
+    if not (bare or spaced):
         return library
+    added = [] if special_as_text else [t["content"].encode() for t in described["added_tokens"]]
+    special = re.compile(b"|".join(map(re.escape, added)), re.IGNORECASE).search if added else lambda _: None
     letters = str.maketrans({chr(b): c for b, c in _byte_letters().items()})
     model = tokenizer.model
     plain = re.compile(rb" ?(?:[A-Za-z]+|[!-&(-/:-@\[-`{-~]+)\Z" if spaced else rb"(?:[A-Za-z]+|[!-&(-/:-@\[-`{-~]+)\Z").match
@@ -96,13 +102,22 @@ def encoder(vocabulary: str, special_as_text: bool = True, remembered: int = REM
     get, cut = memory.__getitem__, (_SPACED if spaced else _BARE).findall
 
     def encode(text: bytes) -> bytes:
-        if _CONTROL.search(text) or spaced and not text.isascii() and _WIDE_SPACE.search(text):
+        if _CONTROL.search(text) or special(text) or spaced and not text.isascii() and _WIDE_SPACE.search(text):
             return library(text)
         return b"".join(map(get, cut(text)))
 
     return encode
 
 
+def top_id(vocabulary: str) -> int:
+    """The highest id of the file, added tokens included."""
+    with open(vocabulary, encoding="utf-8") as file:
+        described = json.load(file)
+    words = described["model"]["vocab"]
+    known = words.values() if isinstance(words, dict) else range(len(words))
+    return max([0, *known, *(t["id"] for t in described.get("added_tokens") or ())])
+
+
 def forget() -> None:
     """Gives up what this worker remembers, for a task that needs the room; tasks that tokenize begin anew."""
     if encoder.cache_info().currsize:

@@ -20,6 +20,8 @@ def test_elias_fano(gaps):
     ef = binary.EliasFano.of(values)
     assert ef.all().tolist() == values.tolist()
     assert [ef[i] for i in range(len(values))] == values.tolist()
+    for a, b in [(0, 1), (len(values) // 3, len(values) // 2), (len(values) - 1, len(values)), (5, 5)]:
+        assert ef.some(a, b).tolist() == values[a:b].tolist()
     top = max(1, int(values[-1]))
     assert 8 * (len(ef.low) + ef.high.nbytes) <= len(values) * (3 + max(0, np.log2(top / len(values)))) + 160
 
@@ -61,6 +63,44 @@ def test_wide_ids_and_bad_files(spark, tmp_path):
         binary.Shard(b"x" * 40)
 
 
+def test_width_of_the_vocabulary_and_ids_that_do_not_fit(spark, tmp_path):
+    top = max(Tokenizer.from_file(VOCABULARY).get_vocab(with_added_tokens=True).values())
+    assert tokens.top_id(VOCABULARY) == top < 1 << 16
+    uri = f"file://{tmp_path}/end"
+    binary.write(documents(spark, [(5, "a b")]), uri, VOCABULARY, end_id=70_000, n_shards=1)
+    assert binary.read(spark, uri, with_ids=True).first().ids[-1] == 70_000
+    with pytest.raises(Exception, match="does not fit"):
+        binary.write(documents(spark, [(5, "a b")]), f"file://{tmp_path}/low", VOCABULARY, end_id=70_000, width=2, n_shards=1)
+
+
+def test_ranges_are_cut_into_shards_and_blocks(spark, tmp_path, monkeypatch):
+    for name, value in (("SHARD_IDS", 60), ("SHARD_DOCS", 7), ("BLOCK_DOCS", 3), ("BLOCK_IDS", 25)):
+        monkeypatch.setattr(binary, name, value)
+    where, folder = binary._open(f"file://{tmp_path}")
+    g = np.random.default_rng(1)
+    docs = [(None if k < 9 else k - 9, g.integers(0, 50_000, g.choice([1, 4, 9, 80]))) for k in range(40)]
+    made, writer = [], None
+    for key, ids in docs:
+        if writer is not None and writer.full(len(ids)):
+            made.append((writer.path, writer.close()))
+            writer = None
+        writer = writer or binary._Writer(where, f"{folder}/s{len(made)}", 2)
+        writer.add(key, ids.astype("<u4").tobytes())
+    made.append((writer.path, writer.close()))
+    assert len(made) > 6 and sum(f["n_docs"] for _, f in made) == 40
+    assert all(f["n_docs"] <= 7 and (f["n_ids"] <= 60 or f["n_docs"] == 1) for _, f in made)
+    back = []
+    for path, _ in made:
+        shard = binary.Shard(open(path, "rb").read())
+        seen = 0
+        for first, ends in shard.blocks():
+            assert first == seen and len(ends) <= 4 and (len(ends) == 2 or ends[-1] - ends[0] <= 25)
+            seen += len(ends) - 1
+            back += [(key, shard.document(first + k).tolist()) for k, key in enumerate(shard.doc_ids(first, seen))]
+        assert seen == len(shard)
+    assert back == [(key, ids.tolist()) for key, ids in docs]
+
+
 def test_empty_table(spark, tmp_path):
     uri = f"file://{tmp_path}/none"
     assert binary.write(documents(spark, []), uri, VOCABULARY) == [] and binary.read(spark, uri).count() == 0
