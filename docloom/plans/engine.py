@@ -49,7 +49,7 @@ class Engine:
             raise ValueError("a baseline manifest is needed")
         files = folder.listing(self.spark, root, self.options, limited=False)
         found = incremental.compared(files, baseline)
-        whole = folder.extracted(folder._filtered(folder._described(folder._reader(self.spark, self.options).load(root)).join(found.changed.select("path"), "path", "left_semi"), self.options), self.options)
+        whole = folder.opened(files.join(found.changed.select("path"), "path", "left_semi"), self.options)
         return Rescan(whole, found.removed, incremental.merged(found.unchanged, whole), found.unchanged)
 
     def diagnostics(self, records: DataFrame, unchanged: DataFrame | None = None) -> DataFrame:

@@ -1,16 +1,18 @@
 """A folder of files as a table of records.
 
-Files are listed without their contents; contents are read only of files that some
-extractor takes, or that are to be hashed, and that are within the size limit. Spark's
-file source leaves out names that begin with a dot or an underscore.
+Files are listed without their contents (``listing``); a file is then read once, and only if
+some extractor takes it, or it is to be hashed, and it is within the size limit. Streams,
+whose files Spark itself lists and loads, are made records by ``extracted``.
 """
 
 from __future__ import annotations
 
+import hashlib
 import os
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -20,7 +22,7 @@ from docloom.operators.redaction.udf import redact_records
 from docloom.operators.redaction import Redactor
 from docloom.options import Level, ReadOptions, Recursion
 from docloom.schema import RECORD
-from docloom.sources import formats
+from docloom.sources import formats, listing as listed
 
 
 def checked_root(root: str) -> str:
@@ -31,16 +33,11 @@ def checked_root(root: str) -> str:
     return root
 
 
-def _reader(spark: SparkSession, options: ReadOptions):
-    nested = str(options.recursion is Recursion.ALL_NESTED).lower()
-    return spark.read.format("binaryFile").option("recursiveFileLookup", nested).option("ignoreMissingFiles", "true")
-
-
 def _described(files: DataFrame) -> DataFrame:
     path = paths.without_scheme(F.col("path"))
     return files.select(
         path.alias("path"), paths.name(path).alias("name"), paths.extension(path).alias("extension"), paths.folder(path).alias("folder"),
-        F.col("length").alias("size_bytes"), F.col("modificationTime").alias("modified"), *(["content"] if "content" in files.columns else []),
+        *[F.col(c) for c in files.columns if c != "path"],
     )
 
 
@@ -53,9 +50,10 @@ def _filtered(files: DataFrame, options: ReadOptions) -> DataFrame:
 
 
 def listing(spark: SparkSession, root: str, options: ReadOptions | None = None, *, limited: bool = True) -> DataFrame:
-    """path, name, extension, folder, size_bytes, modified of each file; contents stay where they are."""
+    """path, name, extension, folder, size_bytes, modified and stat_failed of each file; contents stay where they are."""
     options = options or ReadOptions()
-    files = _filtered(_described(_reader(spark, options).load(checked_root(root)).drop("content")), options)
+    files = listed.files(spark, checked_root(root), options.recursion is Recursion.ALL_NESTED)
+    files = _filtered(_described(files), options)
     return files.orderBy("path").limit(options.max_files) if limited and options.max_files > 0 else files
 
 
@@ -71,7 +69,10 @@ def _readable(extension: Column, options: ReadOptions) -> Column:
     return F.lower(extension).isin(*known)
 
 
-_EXTRACTED = "path string, size_bytes long, modified timestamp, hash string, metadata map<string,string>, text string, problem string"
+_EXTRACTED = "path string, size_bytes long, modified timestamp, hash string, metadata map<string,string>, text string, problems array<string>"
+_NAMES = ["path", "size_bytes", "modified", "hash", "metadata", "text", "problems"]
+#: Texts that a reading task hands on at once: about so many characters, or so many files.
+BATCH_CHARS, BATCH_FILES = 4_000_000, 1000
 
 
 def _extract(options: ReadOptions):
@@ -89,18 +90,76 @@ def _extract(options: ReadOptions):
                         metadata, text = dict(found[0]), found[1] or ""
                     except Exception as e:  # one bad file must not end the job; the row says what happened
                         problem = f"extract-failed: {type(e).__name__}"
-                out.append((metadata, text, problem))
+                out.append((metadata, text, [problem] if problem else []))
             kept = files[["path", "size_bytes", "modified", "hash"]].copy()
-            kept["metadata"], kept["text"], kept["problem"] = [o[0] for o in out], [o[1] for o in out], [o[2] for o in out]
+            kept["metadata"], kept["text"], kept["problems"] = [o[0] for o in out], [o[1] for o in out], [o[2] for o in out]
             yield kept
 
     return run
 
 
+def _open(options: ReadOptions):
+    """Reads the files of a listing, each at most once, and extracts them."""
+    extractors, hashed, limit = _extractors(options), options.content_hash, options.max_bytes_per_file
+
+    def one(read, path: str, ext: str, size: int, stat_failed: bool) -> tuple:
+        problems = ["stat-failed"] if stat_failed else []
+        taker = next((e for e in extractors if e.can_handle(ext)), None)
+        metadata, text, code = {}, "", None
+        if limit > 0 and size > limit:
+            return code, metadata, text, problems + ([f"skipped-content: {size} bytes over limit"] if taker is not None else [])
+        if taker is None and not hashed:
+            return code, metadata, text, problems
+        try:
+            data = read(path)
+        except Exception as e:  # a file that cannot be read has a row that says so
+            return code, metadata, text, problems + ["hash-failed"] * hashed + ([f"extract-failed: {type(e).__name__}"] if taker is not None else [])
+        if hashed:
+            code = hashlib.sha256(data).hexdigest()
+        if taker is not None:
+            try:
+                found = taker.extract(path.rsplit("/", 1)[-1], data)
+                metadata, text = dict(found[0]), (found[1] or "").encode("utf-8", "replace").decode()
+            except Exception as e:  # one bad file must not end the job
+                problems.append(f"extract-failed: {type(e).__name__}")
+        return code, metadata, text, problems
+
+    def batch(rows: list[tuple]) -> pa.RecordBatch:
+        path, size, modified, code, metadata, text, problems = zip(*rows)
+        return pa.RecordBatch.from_arrays([
+            pa.array(path, pa.string()), pa.array(size, pa.int64()), pa.array(modified, pa.timestamp("us", "UTC")), pa.array(code, pa.string()),
+            pa.array([list(m.items()) for m in metadata], pa.map_(pa.string(), pa.string())), pa.array(text, pa.string()), pa.array(problems, pa.list_(pa.string())),
+        ], names=_NAMES)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        read, rows, chars = listed.opener(), [], 0
+        for files in batches:
+            modified = files.column("modified").cast(pa.int64()).to_pylist()
+            for path, ext, size, time, failed in zip(*(files.column(c).to_pylist() for c in ("path", "extension", "size_bytes")), modified, files.column("stat_failed").to_pylist()):
+                code, metadata, text, problems = one(read, path, ext, size, failed)
+                rows.append((path, size, time, code, metadata, text, problems))
+                chars += len(text)
+                if chars >= BATCH_CHARS or len(rows) >= BATCH_FILES:
+                    yield batch(rows)
+                    rows, chars = [], 0
+        if rows:
+            yield batch(rows)
+
+    return run
+
+
+def opened(files: DataFrame, options: ReadOptions, tasks: int | None = None) -> DataFrame:
+    """Records of a listing. Files are shared out evenly among the tasks, however they lie in folders."""
+    spark = files.sparkSession
+    tasks = tasks or max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    files = files.select("path", "extension", "size_bytes", "modified", "stat_failed").repartition(tasks)
+    return finished(files.mapInArrow(_open(options), _EXTRACTED), options)
+
+
 def finished(rows: DataFrame, options: ReadOptions) -> DataFrame:
-    """Records of rows with path, size_bytes, modified, hash, metadata, raw text and problem: text is normalized, clipped and then redacted."""
+    """Records of rows with path, size_bytes, modified, hash, metadata, raw text and problems: text is normalized, clipped and then redacted."""
     text = normalized(F.coalesce(F.col("text"), F.lit("")))
-    warnings = F.array_compact(F.array(F.col("problem"), F.when(is_clipped(F.col("_full"), options.max_text_length), F.lit("text-clipped"))))
+    warnings = F.concat("problems", F.array_compact(F.array(F.when(is_clipped(F.col("_full"), options.max_text_length), F.lit("text-clipped")))))
     rows = rows.withColumn("_full", text).withColumn("warnings", warnings).withColumn("text", clipped(F.col("_full"), options.max_text_length))
     ext = paths.extension(F.col("path"))
     rows = rows.select(
@@ -119,21 +178,22 @@ def _marked(content: Column) -> Column:
 
 
 def extracted(files: DataFrame, options: ReadOptions) -> DataFrame:
-    """Records of described files with their content."""
+    """Records of described files with their content, as streams have them."""
     limit = options.max_bytes_per_file
     fits = F.lit(True) if limit <= 0 else F.col("size_bytes") <= limit
-    wanted = _readable(F.col("extension"), options) | F.lit(options.content_hash)
+    readable = _readable(F.col("extension"), options)
+    wanted = fits & (readable | F.lit(options.content_hash))
     hashed = F.sha2("content", 256) if options.content_hash else F.lit(None).cast("string")
-    read = files.where(fits & wanted).select("path", "extension", "size_bytes", "modified", hashed.alias("hash"), "content")
+    read = files.where(wanted).select("path", "extension", "size_bytes", "modified", hashed.alias("hash"), "content")
     simple = F.lit(False) if options.extractors else F.col("extension").isin(*sorted(formats.PlainText.extensions)) & ~_marked(F.col("content"))
     done = read.where(~simple).mapInPandas(_extract(options), _EXTRACTED)
     none = F.create_map().cast("map<string,string>").alias("metadata")
-    plain = files.where(fits & ~wanted).select("path", "size_bytes", "modified", F.lit(None).cast("string").alias("hash"), none, F.lit("").alias("text"), F.lit(None).cast("string").alias("problem"))
     decoded = F.make_valid_utf8(F.col("content").cast("string")).alias("text")
-    rows = done.unionByName(plain).unionByName(read.where(simple).select("path", "size_bytes", "modified", "hash", none, decoded, F.lit(None).cast("string").alias("problem")))
-    if limit > 0:
-        note = F.concat(F.lit("skipped-content: "), F.col("size_bytes").cast("string"), F.lit(" bytes over limit"))
-        rows = rows.unionByName(files.where(~fits).select("path", "size_bytes", "modified", F.lit(None).cast("string").alias("hash"), none, F.lit("").alias("text"), note.alias("problem")))
+    quiet = F.array().cast("array<string>")
+    note = F.concat(F.lit("skipped-content: "), F.col("size_bytes").cast("string"), F.lit(" bytes over limit"))
+    problems = F.when(~fits & readable, F.array(note)).otherwise(quiet).alias("problems")
+    plain = files.where(~wanted).select("path", "size_bytes", "modified", F.lit(None).cast("string").alias("hash"), none, F.lit("").alias("text"), problems)
+    rows = done.unionByName(plain).unionByName(read.where(simple).select("path", "size_bytes", "modified", "hash", none, decoded, quiet.alias("problems")))
     return finished(rows, options)
 
 
@@ -141,23 +201,12 @@ def empty_records(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([], RECORD)
 
 
-def loaded(spark: SparkSession, chosen: list[str], options: ReadOptions) -> DataFrame:
-    """Records of the named files alone."""
-    if not chosen:
-        return empty_records(spark)
-    return extracted(_described(_reader(spark, options).load(chosen)), options)
-
-
-def read(spark: SparkSession, root: str, options: ReadOptions | None = None) -> DataFrame:
-    """A record for each file under root. With a limit on their number, the first by path."""
+def read(spark: SparkSession, root: str, options: ReadOptions | None = None, *, tasks: int | None = None) -> DataFrame:
+    """A record for each file under root. With a limit on their number, the first by path. tasks: how many read (None: options.parallelism, if it is more than 1, else as many as the session has)."""
     options = options or ReadOptions()
-    if options.max_files > 0:
-        names = [r["path"] for r in listing(spark, root, options).select("path").collect()]  # at most max_files
-        return loaded(spark, names, options)
-    checked_root(root)
-    return extracted(_filtered(_described(_reader(spark, options).load(root)), options), options)
+    return opened(listing(spark, root, options), options, tasks or (options.parallelism if options.parallelism > 1 else None))
 
 
 def read_parallel(spark: SparkSession, root: str, options: ReadOptions) -> DataFrame:
     """As read, with the records made by as many tasks as options.parallelism says."""
-    return read(spark, root, options).coalesce(options.parallelism)
+    return read(spark, root, options, tasks=options.parallelism)

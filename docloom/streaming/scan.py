@@ -19,7 +19,8 @@ def record_stream(spark: SparkSession, root: str, options: ReadOptions | None =
     files = spark.readStream.format("binaryFile").schema(_FILE).option("recursiveFileLookup", nested)
     if options.max_files > 0:
         files = files.option("maxFilesPerTrigger", options.max_files)
-    files = folder._filtered(folder._described(files.load(folder.checked_root(root))), options)
+    files = files.load(folder.checked_root(root)).withColumnsRenamed({"length": "size_bytes", "modificationTime": "modified"})
+    files = folder._filtered(folder._described(files), options)
     return folder.extracted(files, options)
 
 

@@ -60,9 +60,68 @@ def test_limits_and_filters(spark, root):
     assert folder.read_parallel(spark, root, ReadOptions(parallelism=3)).rdd.getNumPartitions() <= 3
 
 
-def test_contents_are_not_read_for_a_listing(spark, root):
-    plan = folder.listing(spark, root)._jdf.queryExecution().executedPlan().toString()
-    assert "ReadSchema: struct<path:string,modificationTime:timestamp,length:bigint>" in plan
+def test_contents_are_read_once_and_only_where_needed(spark, root, monkeypatch):
+    """A listing opens nothing; a scan opens each file that an extractor takes, or that is hashed, once."""
+    os.mkfifo(root + "/pipe.bin")  # would never end, if it were opened
+    assert "pipe.bin" in by_name(folder.listing(spark, root)) and by_name(Engine(spark).read(root))["pipe.bin"].text == ""
+    os.remove(root + "/pipe.bin")
+    plan = Engine(spark).read(root)._jdf.queryExecution().executedPlan().toString()
+    assert "binaryFile" not in plan and plan.count("Scan") == 1
+    seen = []
+
+    def counting(path):
+        seen.append(os.path.basename(path))
+        return open(path, "rb").read()
+
+    monkeypatch.setattr(folder.listed, "opener", lambda: counting)
+    rows = folder._described(folder.listed.files(spark, root, True)).toArrow().to_batches()
+    for options, want in ((ReadOptions(max_bytes_per_file=2000), ["a.txt", "bad.docx", "c.HTML", "d.docx"]), (ReadOptions(content_hash=True), ["a.txt", "b.bin", "bad.docx", "big.csv", "c.HTML", "d.docx", "long.md"])):
+        seen.clear()
+        list(folder._open(options)(iter(rows)))
+        assert sorted(seen) == want
+
+
+def test_all_names_empty_files_and_files_that_go(spark, root):
+    for name in ("_u.txt", ".d.txt", "sub/_v.md", "empty.txt"):
+        with open(f"{root}/{name}", "w") as f:
+            f.write("" if name == "empty.txt" else name)
+    os.symlink(root + "/nowhere", root + "/gone.txt")
+    os.symlink(root, root + "/sub/loop")
+    engine = Engine(spark, ReadOptions(content_hash=True))
+    out = by_name(engine.read(root))
+    assert out["_u.txt"].text == "_u.txt" and out[".d.txt"].text == ".d.txt" and out["_v.md"].folder == "sub" and out["empty.txt"].size_bytes == 0
+    assert out["empty.txt"].content_hash == hashlib.sha256(b"").hexdigest() and len(out) == 12
+    gone = out["gone.txt"]
+    assert gone.warnings == ["stat-failed", "hash-failed", "extract-failed: FileNotFoundError"] and gone.size_bytes == 0 and gone.content_hash is None
+    before = engine.new_manifest(engine.read(root)).cache()
+    assert before.count() == 12
+    open(root + "/a.txt", "w").close()
+    found = engine.read_changes(root, before)
+    assert set(by_name(found.changed)) == {"a.txt"} and found.removed.count() == 0
+
+
+def test_oversize_files_without_an_extractor_have_no_warning(spark, root):
+    with open(root + "/x.zip", "wb") as f:
+        f.write(b"0" * 3000)
+    out = by_name(Engine(spark, ReadOptions(max_bytes_per_file=1000, content_hash=True)).read(root))
+    assert out["x.zip"].warnings == [] and out["x.zip"].content_hash is None and out["big.csv"].warnings == ["skipped-content: 3000 bytes over limit"]
+    files = spark.read.format("binaryFile").load(root + "/x.zip").withColumnsRenamed({"length": "size_bytes", "modificationTime": "modified"})
+    assert folder.extracted(folder._described(files), ReadOptions(max_bytes_per_file=1000)).first().warnings == []
+    events = summary.diagnostics(Engine(spark, ReadOptions(max_bytes_per_file=1000)).read(root))
+    assert [r.event for r in events.collect() if r.path.endswith("x.zip")] == ["read"]
+
+
+def test_many_folders_are_shared_out(spark, tmp_path):
+    want = set()
+    for k in range(90):
+        at = tmp_path / f"d{k % 70}" / f"e{k % 7}"
+        at.mkdir(parents=True, exist_ok=True)
+        (at / f"f{k}.txt").write_text(str(k))
+        want.add(str(at / f"f{k}.txt"))
+    got = [r.path for r in folder.listing(spark, str(tmp_path)).collect()]
+    assert len(got) == 90 and set(got) == want
+    assert folder.listing(spark, "file://" + str(tmp_path), ReadOptions(recursion=Recursion.TOP_ONLY)).count() == 0
+    assert Engine(spark, ReadOptions(parallelism=3)).read(str(tmp_path)).rdd.getNumPartitions() == 3
 
 
 def test_plain_texts_are_decoded_alike_in_the_jvm(spark, tmp_path):
