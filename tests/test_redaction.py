@@ -161,6 +161,23 @@ def test_the_gate_lets_all_through_that_the_engine_changes(spark):
         assert not any(t in passed for t in ("just some plain text", "the year was 2024"))
 
 
+CUSTOM = [
+    CustomRule("A", r"\bTh[a-z]{6}\b"), CustomRule("B", r"(?<=id )\d{3,}"), CustomRule("C", r"(?<word>x\w+?)-(?:y|z)[^\s,]*", ignore_case=True), CustomRule("D", r"^note:\s+\S{2}"), CustomRule("E", r"caf[éè]\w"),
+    CustomRule("F", r"(a|b)\1"), CustomRule("G", "é", ignore_case=True), CustomRule("H", r"\w{3}\x1c?q(?!x)"),
+]
+
+
+def test_the_gate_knows_the_callers_rules(spark):
+    texts = ["Thabcdef", "xThabcdef", "id 1234", "id ٣٤٥٦", "XÄ½-Yq", "note:\x1cab", "so note: ab", "cafés", "aa", "É", "a²½q", "abc\x1cq", "plain", "", "x-", *[t for t in _texts() if t]]
+    df = spark.createDataFrame([(t,) for t in texts], "text string")
+    assert [native.loosened(r) is None for r in CUSTOM] == [False] * 5 + [True, True, False]
+    for rule in CUSTOM:
+        options = RedactorOptions(custom=[rule], disabled={r.category for r in RULES})
+        passed = {r.text for r in df.where(native.gate(F.col("text"), options)).collect()}
+        assert {t for t in texts if t and Redactor(options).redact(t).spans} <= passed
+        assert native.loosened(rule) is None or "plain" not in passed
+
+
 def test_native_rules_equal_the_engine_on_one_category(spark):
     texts = [t for t in _texts() if t]
     df = spark.createDataFrame([(t,) for t in texts], "text string")
