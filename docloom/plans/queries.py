@@ -13,9 +13,9 @@ from docloom.operators.chunking import chunked
 from docloom.operators.redaction import Redactor, native, redact_column, redacted_text
 from docloom.operators.redaction.rules import BY_NAME, RULES
 from docloom.operators.redaction.udf import redact_records
-from docloom.options import ChunkOptions, CustomRule, Level, RedactorOptions
-from docloom.plans import sinks
-from docloom.sources import manifest, tables
+from docloom.options import ChunkOptions, CustomRule, Level, ReadOptions, RedactorOptions
+from docloom.plans import samples, sinks
+from docloom.sources import folder, manifest, tables
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -399,3 +399,87 @@ def source_chunks(spark, sf_dir):
     """The flagship: documents as records, cleaned and clipped, e-mail addresses replaced, cut into chunks, counted by source."""
     rows = tables.documents(spark, sf_dir).withColumn("text", native.replaced(text.clipped(text.normalized(F.col("text")), 20_000), "email"))
     return chunked(rows, keep=("folder",)).groupBy("folder").agg(F.count("*").alias("n_chunks"), F.sum(F.length("text")).alias("n_chars"))
+
+
+def _extracted(files: DataFrame, options: ReadOptions = ReadOptions()) -> DataFrame:
+    """What the extractors make of files with their content: name, text, metadata and warnings as one string each."""
+    described = files.select("path", F.octet_length("content").cast("long").alias("size_bytes"), F.lit("2026-01-01").cast("timestamp").alias("modified"), "content")
+    records = folder.extracted(folder._described(described), options)
+    metadata = F.array_join(F.array_sort(F.transform(F.map_entries("metadata"), lambda e: F.concat(e["key"], F.lit("="), e["value"]))), ";")
+    return records.select("name", "text", metadata.alias("metadata"), F.array_join("warnings", ";").alias("warnings"))
+
+
+def _format(name: str) -> Query:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        rows = [(f"/box/{file}", bytearray(data)) for file, data in samples.files(name)]
+        return _extracted(spark.createDataFrame(rows, "path string, content binary"))
+
+    run.__name__ = name
+    return run
+
+
+for _name in samples.NAMES:
+    query(_format(_name))
+
+
+def _as_files(spark, sf_dir, ending: str, content) -> DataFrame:
+    """The documents as files of a format."""
+    docs = tables.table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    return docs.select(F.concat(F.lit("/docs/"), F.col("doc_id").cast("string"), F.lit(ending)).alias("path"), content(F.col("text")).alias("content"))
+
+
+@query
+def extract_plain_documents(spark, sf_dir):
+    """All documents as plain texts, every third in UTF-16 behind its mark."""
+    docs = tables.table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    marked = F.concat(F.unhex(F.lit("FFFE")), F.encode("text", "UTF-16LE"))
+    content = F.when(F.col("doc_id") % 3 == 0, marked).otherwise(F.encode("text", "UTF-8"))
+    return _extracted(docs.select(F.concat(F.lit("/docs/"), F.col("doc_id").cast("string"), F.lit(".md")).alias("path"), content.alias("content"))).select("name", "text", "warnings")
+
+
+@query
+def extract_mail_documents(spark, sf_dir):
+    """All documents as mails with a transfer encoding."""
+    head = "Subject: =?utf-8?Q?caf=C3=A9?=\r\nContent-Type: text/plain; charset=utf-8\r\nContent-Transfer-Encoding: base64\r\n\r\n"
+    files = _as_files(spark, sf_dir, ".eml", lambda t: F.encode(F.concat(F.lit(head), F.base64(F.encode(t, "UTF-8"))), "UTF-8"))
+    return _extracted(files)
+
+
+@query
+def oversize_documents(spark, sf_dir):
+    """All documents under a limit of 1000 bytes, every second of a type that no extractor takes: only the others are warned about."""
+    docs = tables.table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    ending = F.when(F.col("doc_id") % 2 == 0, ".zip").otherwise(".txt")
+    files = docs.select(F.concat(F.lit("/docs/"), F.col("doc_id").cast("string"), ending).alias("path"), F.encode("text", "UTF-8").alias("content"))
+    return _extracted(files, ReadOptions(max_bytes_per_file=1000)).select("name", "text", "warnings")
+
+
+@query
+def inc_touched(spark, sf_dir):
+    """Files of the same size and another time count as changed, those without an old entry and those whose size differs, too."""
+    now = tables.documents(spark, sf_dir, "doc_id")
+    old = now.where("doc_id % 7 <> 0").select("path", "size_bytes", (F.col("modified") + F.expr("make_interval(0, 0, 0, 0, 0, 0, if(doc_id % 4 = 1, 5, 0))")).alias("modified"), F.md5("path").alias("content_hash"))
+    return incremental.compared(now.select("path", "size_bytes", "modified"), old).changed.select("path", "size_bytes")
+
+
+@query
+def redact_metadata(spark, sf_dir):
+    """Records whose metadata hold values, too: counts of the text come first."""
+    rows = tables.documents(spark, sf_dir, "doc_id").withColumn("text", F.lit("mail a@b.com now"))
+    person = F.concat(F.lit("user"), F.col("doc_id").cast("string"), F.lit("@example.com"))
+    rows = rows.withColumn("metadata", F.create_map(F.lit("Author"), person, F.lit("Title"), F.when(F.col("doc_id") % 2 == 0, "no value").otherwise("call 123-45-6789")))
+    out = redact_records(rows, Redactor(Level.STANDARD))
+    counts = F.array_join(F.transform(F.map_entries("redactions"), lambda e: F.concat(e["key"], F.lit("="), e["value"].cast("string"))), ";")
+    return out.select("path", "text", F.element_at("metadata", "Author").alias("author"), F.element_at("metadata", "Title").alias("title"), counts.alias("counts"))
+
+
+@query
+def mask_engine_last4(spark, sf_dir):
+    """The exact engine's masks: all but the last four letters and digits of a mail address."""
+    return _engine(spark, sf_dir, _only("Email", reveal_last={"Email": 4}))
+
+
+@query
+def first_by_path(spark, sf_dir):
+    """The first hundred files by path, as a limited scan takes them."""
+    return tables.documents(spark, sf_dir).select("path", "size_bytes").orderBy("path").limit(100)

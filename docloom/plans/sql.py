@@ -277,3 +277,37 @@ for _name, _rule in {
 for _name, _who in (("chat_redact_user", "role = 'user'"), ("chat_redact_all", "true")):
     _ctes, _last = engine("start", False, pick="conv_id, turn, role, raw")
     SQL[_name] = f"with {CHATS}, start as (select conv_id, turn, role, text as raw, text as t from chat), {_ctes} select conv_id, turn, role, case when {_who} then {tokens('t')} else raw end as text from {_last}"
+
+
+def _found(*rows: tuple[str, str, str, str]) -> str:
+    return f"select * from (values {values(rows)}) v(name, text, metadata, warnings)"
+
+
+_CAMERA = "Make=Canon;Model=EOS 5D Mark;Software=v1"
+SQL |= {
+    "extract_ooxml": _found(("report.docx", "Hello world & all", "Author=Jane;Title=The Title", ""), ("deck.pptx", "one ten two", "", ""), ("book.xlsx", "a b", "", ""), ("empty.docx", "", "", "")),
+    "extract_open_document": _found(("letter.odt", "Head one twonested", "Title=T", "")),
+    "extract_epub": _found(("novel.epub", "One First & best Second line", "Author=Ann;Title=Book", "")),
+    "extract_rtf": _found(("note.rtf", "café a—b end", "", ""), ("code.rtf", "€5 {x}", "", "")),
+    "extract_eml": _found(("mail.eml", "café! =ZZ", "From=Jürg <a@b.c>;Subject=Hi there", ""), ("raw.eml", "hello", "Subject=s", "")),
+    "extract_msg": "select 'mail.msg' as name, 'line two' || repeat(' long', 900) as text, 'Date=2020-01-01T00:00:00Z;From=Jane <j@x.org>;Subject=Hi é;To=Bob' as metadata, '' as warnings",
+    "extract_legacy_office": _found(
+        ("old.doc", "Hello närrowwide ☃ x", "Author=Ann;Title=Doc title", ""), ("old.xls", "wïde plain rich inline", "", ""), ("split.xls", "splitü plain rich inline", "", ""),
+        ("old.ppt", "Hello there Wörld x", "", ""), ("summary.xls", "", "Title=Tïtle", ""),
+    ),
+    "extract_exif": _found(("photo.jpg", "", _CAMERA, ""), ("photo.png", "", _CAMERA, ""), ("photo.tif", "", _CAMERA, ""), ("plain.gif", "", "", "")),
+    "extract_pdf": _found(*((name, "Hello World againABé", "Author=Me;Pages=2;Title=My (title)", "") for name in ("paper.pdf", "packed.pdf"))),
+    "extract_failed": _found(
+        ("bad.docx", "", "", "extract-failed: BadZipFile"), ("bad.msg", "", "", "extract-failed: ValueError"), ("bad.pdf", "", "", "extract-failed: ValueError"), ("bad.jpg", "", "", "extract-failed: ValueError"), ("data.bin", "", "", ""),
+    ),
+    "extract_plain_documents": f"select doc_id || '.md' as name, left({normal('coalesce(text, ' + s('') + ')')}, 20000) as text, case when len({normal('coalesce(text, ' + s('') + ')')}) > 20000 then 'text-clipped' else '' end as warnings from documents",
+    "extract_mail_documents": f"select doc_id || '.eml' as name, left({normal('coalesce(text, ' + s('') + ')')}, 20000) as text, 'Subject=café' as metadata, case when len({normal('coalesce(text, ' + s('') + ')')}) > 20000 then 'text-clipped' else '' end as warnings from documents",
+    "oversize_documents": f"""select doc_id || case when doc_id % 2 = 0 then '.zip' else '.txt' end as name, case when doc_id % 2 = 1 and strlen(coalesce(text, '')) <= 1000 then {normal('coalesce(text, ' + s('') + ')')} else '' end as text,
+ case when doc_id % 2 = 1 and strlen(coalesce(text, '')) > 1000 then 'skipped-content: ' || strlen(text) || ' bytes over limit' else '' end as warnings from documents""",
+    "inc_touched": f"with {DOCS} select path, size_bytes from recs where doc_id % 7 = 0 or doc_id % 4 = 1",
+    "redact_metadata": f"with {DOCS} select path, 'mail [EMAIL] now' as text, '[EMAIL]' as author, case when doc_id % 2 = 0 then 'no value' else 'call [SSN]' end as title, case when doc_id % 2 = 0 then 'Email=2' else 'Email=2;SSN=1' end as counts from recs",
+    "mask_engine_last4": f"""with {TEXTS} select doc_id, array_to_string(list_transform(string_split(regexp_replace(text, {s('(' + _EMAIL + ')')}, chr(57344) || '\\1' || chr(57345), 'g'), chr(57344)),
+ lambda p: case when contains(p, chr(57345)) then regexp_replace(regexp_extract(split_part(p, chr(57345), 1), '^(.*?)((?:[A-Za-z0-9][^A-Za-z0-9]*){{4}})$', 1), '[A-Za-z0-9]', '*', 'g')
+   || regexp_extract(split_part(p, chr(57345), 1), '^(.*?)((?:[A-Za-z0-9][^A-Za-z0-9]*){{4}})$', 2) || split_part(p, chr(57345), 2) else p end), '') as text from texts""",
+    "first_by_path": f"with {DOCS} select path, size_bytes from recs order by path limit 100",
+}
