@@ -56,11 +56,54 @@ def grown():
     return rows
 
 
-@pytest.mark.parametrize("most", [0, neardup.MOST_BROADCAST])
-def test_equals_brute_force(spark, most, monkeypatch):
-    monkeypatch.setattr(neardup, "MOST_BROADCAST", most)
-    monkeypatch.setattr(neardup, "MOST_TOGETHER", most)
-    rows = grown() if most else texts()
+@pytest.mark.parametrize("broadcast", [False, True])
+def test_equals_brute_force(spark, broadcast, monkeypatch):
+    if not broadcast:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    monkeypatch.setattr(neardup, "LIST_PART", 512 if broadcast else 2)
+    rows = grown() if broadcast else texts()
+    try:
+        out = neardup.clustered(documents(spark, rows)).select("doc_id", "n_shingles", "component_id", "kept")
+        assert sorted((tuple(r) for r in out.collect()), key=repr) == plain(rows)
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def straddling(seed, n=40):
+    """Texts of one family whose similarities lie on both sides of 70 percent."""
+    g = random.Random(seed)
+    base = [f"b{seed}x{k}" for k in range(110)]
+    out = []
+    for k in range(n):
+        w = list(base)
+        for i in g.sample(range(len(w)), g.choice([1, 2, 2, 3])):
+            w[i] = f"n{seed}x{g.randrange(6)}y{i}"
+        cut = g.randrange(0, 12)
+        out.append(" ".join(w[cut:] if g.random() < 0.5 else w[: len(w) - cut]))
+    return out
+
+
+def test_groups_that_straddle_the_threshold(spark):
+    """Many groups beside one another, and some alone: the same components as brute force, group by group."""
+    groups = [[(1000 * s + k, t) for k, t in enumerate(straddling(s))] for s in range(110)]
+    want = {i: c for rows in groups for i, _, c, _ in plain(rows)}
+    parted = sum(len({c for _, _, c, _ in plain(rows)}) > 1 for rows in groups)
+    out = neardup.clustered(documents(spark, [r for rows in groups for r in rows])).select("doc_id", "component_id").collect()
+    assert parted > 60 and {r.doc_id: r.component_id for r in out} == want
+    for rows in groups[3:4]:
+        assert {r.doc_id: r.component_id for r in neardup.clustered(documents(spark, rows)).collect()} == {i: want[i] for i, _ in rows}
+
+
+def test_less_than_the_bands_find_is_refused(spark):
+    with pytest.raises(ValueError):
+        neardup.clustered(documents(spark), percent=60)
+
+
+def test_left_over(spark, monkeypatch):
+    """With no round of stars that counts and no plausible pair, the exact join alone finds all links."""
+    monkeypatch.setattr(neardup, "least_agreeing", lambda percent: 1000)
+    monkeypatch.setattr(neardup, "LARGE", 0)
+    rows = [(k, t) for k, t in enumerate(group(77, 20, 4) + group(78, 3, 9))]
     out = neardup.clustered(documents(spark, rows)).select("doc_id", "n_shingles", "component_id", "kept")
     assert sorted((tuple(r) for r in out.collect()), key=repr) == plain(rows)
 
@@ -114,9 +157,7 @@ def test_empty_and_single(spark):
     assert neardup.deduplicated(documents(spark, [(1, None), (2, None)])).count() == 2
 
 
-@pytest.mark.parametrize("together", [-1, neardup.MOST_TOGETHER])
-def test_components(spark, together, monkeypatch):
-    monkeypatch.setattr(neardup, "MOST_TOGETHER", together)
+def test_components(spark):
     g = random.Random(2)
     for n, m in ((30, 20), (60, 90), (40, 0)):
         edges = [(g.randrange(n), g.randrange(n)) for _ in range(m)] + [(k, k + 1) for k in range(100, 120)]
