@@ -12,8 +12,10 @@ more than all limits allow, each source gets its limit. An empty table gives no
 Other columns of the input are ignored (``mixed``: kept), whatever their names.
 
 Data sizes: the text is read once, for a table of one narrow row a document; per source
-there is one row and up to 4096 partial sums, so a source with a third of all rows is
-added up where its rows are. The driver sees three numbers a round.
+there is one row and a partial sum for about BIN_ROWS documents (4096 at least), so a source
+with a third of all rows is added up where its rows are, and only one such part of it is put
+in order by one task. A very long text counts as any other. The driver sees three numbers a
+round and a row for each partition of the sources.
 """
 
 from __future__ import annotations
@@ -24,12 +26,8 @@ from pyspark.sql import functions as F
 from docloom.llm import scratch
 
 WORD = r"[^\x20\x09-\x0D]+"
-#: Documents are put in the order of this many leading bits of a hash before they are ordered exactly.
-BIN_BITS = 12
-#: Sources are ranked in so many ranges at most.
-MOST_RANGES = 200
-#: A table of sources is broadcast up to so many rows; beyond, the join is by shuffle and adaptive skew splitting.
-MOST_BROADCAST = 50_000
+#: Documents are put in the order of leading bits of a hash before they are ordered exactly: of so many bits at least, and of as many more as leave about BIN_ROWS documents of a source for the exact order.
+BIN_BITS, BIN_ROWS = 12, 1 << 16
 
 
 def n_words(text: Column) -> Column:
@@ -59,7 +57,7 @@ def ranked(df: DataFrame, order: Column) -> DataFrame:
     """df with rank: each row's position from 0 in the global order, found without one task seeing all rows."""
     spark = df.sparkSession
     parts = scratch.written(
-        df.repartitionByRange(min(MOST_RANGES, scratch.partitions(spark)), order)
+        df.repartitionByRange(scratch.partitions(spark), order)
         .sortWithinPartitions(order)
         .select("*", F.spark_partition_id().alias("_part"), F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)).alias("_at")),
         "ranked",
@@ -69,8 +67,8 @@ def ranked(df: DataFrame, order: Column) -> DataFrame:
         base[part], before = before, before + n
     if not base:
         return parts.select(*df.columns, F.lit(0).cast("long").alias("rank"))
-    known = F.create_map(*[F.lit(x) for pair in base.items() for x in pair])
-    return parts.select(*df.columns, (F.col("_at") + F.element_at(known, F.col("_part"))).cast("long").alias("rank"))
+    known = F.broadcast(spark.createDataFrame(list(base.items()), "_part int, _base long"))  # a row for each partition
+    return parts.join(known, "_part").select(*df.columns, (F.col("_at") + F.col("_base")).cast("long").alias("rank"))
 
 
 def fill(sources: DataFrame, budget: float, max_epochs: float) -> DataFrame:
@@ -93,11 +91,9 @@ def fill(sources: DataFrame, budget: float, max_epochs: float) -> DataFrame:
     return sources.withColumn("target", F.coalesce(wanted, F.lit(0.0)))
 
 
-def joined(docs: DataFrame, sources: DataFrame, on: str = "source", most: int = MOST_BROADCAST) -> DataFrame:
-    """docs with the columns of their source; sources has one row each and is broadcast only if it is short."""
+def joined(docs: DataFrame, sources: DataFrame, on: str = "source") -> DataFrame:
+    """docs with the columns of their source; sources has one row each. As it is a written table, its size is known, and Spark broadcasts it below its own threshold; beyond, adaptive execution splits a hot source."""
     right = sources.withColumnRenamed(on, "_source")
-    if right.limit(most + 1).count() <= most:
-        right = F.broadcast(right)
     return docs.join(right, docs[on].eqNullSafe(F.col("_source")), "left").drop("_source")
 
 
@@ -109,7 +105,8 @@ def plan(sizes: DataFrame, weights: DataFrame, *, share: float = 1.5, max_epochs
     before the end of the part that is wanted, so the sum misses the target by half a
     document at most.
     """
-    shift = 60 - BIN_BITS
+    bits = max(BIN_BITS, (sizes.count() // BIN_ROWS).bit_length())
+    shift = 60 - bits
     bins = scratch.written(
         sizes.groupBy("source", F.shiftright("u", shift).alias("bin")).agg(F.sum("size").alias("size")), "mix-bins"
     )
@@ -121,7 +118,7 @@ def plan(sizes: DataFrame, weights: DataFrame, *, share: float = 1.5, max_epochs
     filled = fill(totals, budget, max_epochs)
     filled = filled.withColumn("whole", F.when(F.col("size") > 0, F.floor(F.col("target") / F.col("size"))).otherwise(F.lit(0)).cast("long"))
     filled = scratch.written(filled.withColumn("part", F.col("target") - F.col("whole") * F.col("size")), "mix-plan")
-    before = Window.partitionBy("source").orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)  # at most 4096 rows a source
+    before = Window.partitionBy("source").orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)  # at most 2**bits rows a source
     edge = joined(bins.withColumn("before", F.coalesce(F.sum("size").over(before), F.lit(0))), filled.select("source", "part"))
     edge = edge.where("part > 0 and before < part").groupBy("source").agg(
         F.max("bin").alias("edge"), F.max_by("before", "bin").alias("before"), F.max("part").alias("part")
@@ -130,7 +127,7 @@ def plan(sizes: DataFrame, weights: DataFrame, *, share: float = 1.5, max_epochs
     inside = joined(sizes.select("source", "size", "u"), edge).where(F.shiftright("u", shift) == F.col("edge"))
     upto = Window.partitionBy("source").orderBy("u").rowsBetween(Window.unboundedPreceding, -1)
     inside = inside.withColumn("at", F.col("before") + F.coalesce(F.sum("size").over(upto), F.lit(0)))
-    last = inside.where(F.col("at") + F.col("size") / 2 <= F.col("part")).groupBy("source").agg(F.max("u").alias("last"))
+    last = scratch.written(inside.where(F.col("at") + F.col("size") / 2 <= F.col("part")).groupBy("source").agg(F.max("u").alias("last")), "mix-found")
     low = edge.select("source", (F.shiftleft("edge", shift) - 1).alias("low"))
     cut = joined(joined(filled, low), last.withColumnRenamed("last", "found"))
     return cut.select(

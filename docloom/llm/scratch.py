@@ -1,23 +1,29 @@
 """Tables written once and read again, in the folder that all executors share.
 
 A written table cuts the lineage without keeping a copy on a single executor, so a
-lost executor costs only the tasks that it was running.
+lost executor costs only the tasks that it was running. They lie in the folder of
+spark.checkpoint.dir; a session on a cluster must name one, and a local one without it gets a
+temporary folder. ``temporary`` drops what was written within it.
 """
 
 from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; only where it is unset, a new one for this session."""
+    """The folder named by spark.checkpoint.dir; where it is unset, a new one for this session if it is local, else an error."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
         known = spark.sparkContext._jsc.sc().getCheckpointDir()
         named = known.get() if known.isDefined() else None
+    if not named and not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir names no folder that all executors share")
     if not named:
         named = "file://" + tempfile.mkdtemp(prefix="docloom-")
         spark.sparkContext.setCheckpointDir(named)
@@ -28,10 +34,26 @@ def new_path(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
 
 
+#: The paths of each open ``temporary``.
+_made: list[list[str]] = []
+
+
+@contextmanager
+def temporary(spark: SparkSession) -> Iterator[None]:
+    """Tables that are written within are dropped at the end: no plan may read them after it."""
+    _made.append([])
+    try:
+        yield
+    finally:
+        drop(spark, *_made.pop())
+
+
 def written(df: DataFrame, label: str) -> DataFrame:
     """df, computed once: written as Parquet to the shared folder and read from there."""
     spark = df.sparkSession
     path = new_path(spark, label)
+    if _made:
+        _made[-1].append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

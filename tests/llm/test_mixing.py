@@ -58,12 +58,16 @@ def test_fewer_epochs_than_wished_and_weights_that_are_missing(spark):
     assert out[1].target == 4 and out[3].target == 6 and out[2].target == 0 and out[2].taken == 0
 
 
-def test_broadcast_is_not_needed(spark, monkeypatch):
-    monkeypatch.setattr(mixing, "MOST_BROADCAST", 0)
+def test_neither_broadcasts_nor_the_number_of_bins_matter(spark, monkeypatch):
     docs = documents(spark)
     few = sorted(map(repr, mixing.taken(docs).collect()))
-    monkeypatch.setattr(mixing, "MOST_BROADCAST", 1000)
-    assert few == sorted(map(repr, mixing.taken(docs).collect()))
+    monkeypatch.setattr(mixing, "BIN_ROWS", 1)
+    monkeypatch.setattr(mixing, "BIN_BITS", 1)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        assert few == sorted(map(repr, mixing.taken(docs).collect()))
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
 
 
 def test_mixed_keeps_rows_whole(spark):
