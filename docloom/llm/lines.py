@@ -1,34 +1,41 @@
 """Removing lines that many documents share, by a sharded minimal perfect hash.
 
-The distinct hashes of the lines that enough documents have are split into shards. A
-shard gives each of its hashes a number of its own from 0 (levels of bit arrays: a hash
-that is alone at its place in a level gets its number there, the others go on to the
-next) and keeps a fingerprint and a document count at that number. Documents probe these
-arrays; no line is joined with another.
+All distinct line hashes are counted. Those that enough documents have are split into
+shards. A shard gives each of its hashes a number of its own from 0 (levels of bit arrays:
+a hash that is alone at its place in a level gets its number there, the others go on to the
+next) and keeps a fingerprint of 16 bits and a document count of 16 bits at that number.
+All other distinct hashes then probe the arrays once; the few that have a number's
+fingerprint without being its hash are kept beside the arrays, so that the compact
+fingerprints answer for no line of the corpus that is not indexed. Documents probe these
+arrays; no line is joined with another, and the plan is one at all sizes.
 
 Defined results: a null or empty text is one empty line; a line whose key has fewer than
 min_key code points is never dropped; each row counts as a document, also one that
-repeats another's id or text; a text of which all lines are dropped becomes empty; a
-null doc_id is kept. An empty table gives no rows. Other columns are ignored
-(``cleaned``: kept).
+repeats another's id or text; a very long text is split whole; a text of which all lines
+are dropped becomes empty; a null doc_id is kept. An empty table gives no rows. Other
+columns are ignored (``cleaned``: kept).
 
 Data sizes: a task sends each distinct line hash once with its count, so a line that all
-documents share is one row a task. Arrays of up to MOST_BYTES are sent to all tasks; if
-the index is larger, its shards are sent in rounds of that size over a table of the line
-hashes, and documents then meet their dropped lines in one join by id.
+documents share is one row a task. The shards lie in the shared folder, about a megabyte
+each; a worker loads those that its lines ask for and keeps at most MOST_BYTES of them. An
+index above that is read anew for each batch of texts. Lines that few documents have are not
+indexed: they are nearly all, and none of them can be dropped.
 """
 
 from __future__ import annotations
 
 import hashlib
 import pickle
-from collections.abc import Iterator
+from collections import OrderedDict
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.dataset
 import xxhash
+from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -38,8 +45,12 @@ from docloom.llm.wordvec import mix
 SPACE = b" \t\n\x0b\x0c\r"
 #: About so many hashes are in a shard.
 SHARD_ROWS = 1 << 18
-#: Bytes of arrays that are sent to all tasks at once.
+#: Bytes of arrays that a worker keeps.
 MOST_BYTES = 64 << 20
+#: Texts whose lines probe the index at once.
+STEP = 512
+#: Counts from here on are one.
+MOST_COUNT = (1 << 16) - 1
 #: Distinct hashes that a task holds before it sends them on.
 HELD = 400_000
 
@@ -70,6 +81,7 @@ class Shard:
     rest: np.ndarray
     fingerprints: np.ndarray
     counts: np.ndarray
+    others: np.ndarray  # hashes outside the shard that have the fingerprint of their number
 
     @staticmethod
     def of(hashes: np.ndarray, counts: np.ndarray, gamma: float = 1.7, most_levels: int = 48) -> Shard:
@@ -84,12 +96,15 @@ class Shard:
             ranks.append(below)
             base += int(alone.sum())
             left = left[~alone[at]]
-        shard = Shard(bits, ranks, np.sort(left), np.zeros(len(hashes), np.uint64), np.zeros(len(hashes), np.uint32))
+        shard = Shard(bits, ranks, np.sort(left), np.zeros(len(hashes), np.uint16), np.zeros(len(hashes), np.uint16), np.zeros(0, np.uint64))
         at = shard.number(hashes)
-        shard.fingerprints[at] = hashes
-        shard.counts[at] = np.minimum(counts, np.iinfo(np.uint32).max)
+        shard.fingerprints[at] = _fingerprint(hashes)
+        shard.counts[at] = np.minimum(counts, MOST_COUNT)
         return shard
 
+    def nbytes(self) -> int:
+        return sum(x.nbytes for x in (*self.bits, *self.ranks, self.rest, self.fingerprints, self.counts, self.others))
+
     def number(self, hashes: np.ndarray) -> np.ndarray:
         """The number of each hash that the shard holds; for others any number or -1."""
         out = np.full(len(hashes), -1, np.int64)
@@ -111,31 +126,48 @@ class Shard:
         return out
 
     def count(self, hashes: np.ndarray) -> np.ndarray:
-        """How many documents have the line, for hashes in the index; 0 for all others."""
+        """How many documents have the line (MOST_COUNT at most), for hashes in the index; 0 for others, if those with the fingerprint of their number are known."""
         at = self.number(hashes)
         safe = np.maximum(at, 0)
-        known = (at >= 0) & (self.fingerprints[safe] == hashes) if len(self.fingerprints) else np.zeros(len(at), bool)
+        known = (at >= 0) & (self.fingerprints[safe] == _fingerprint(hashes)) if len(self.fingerprints) else np.zeros(len(at), bool)
+        if len(self.others) and known.any():
+            known &= ~np.isin(hashes, self.others)
         return np.where(known, self.counts[safe] if len(self.counts) else 0, 0)
 
 
+def _fingerprint(hashes: np.ndarray) -> np.ndarray:
+    return (mix(hashes ^ np.uint64(0xA0761D6478BD642F)) >> np.uint64(48)).astype(np.uint16)
+
+
 def _place(hashes: np.ndarray, level: int, size: int) -> np.ndarray:
     return (mix(hashes + np.uint64((level + 1) * 0x9E3779B97F4A7C15 & (1 << 64) - 1)) % np.uint64(size)).astype(np.int64)
 
 
 class Index:
-    """Shards by the leading part of the hash. Hashes of other shards count 0."""
-
-    def __init__(self, shards: dict[int, Shard], n_shards: int) -> None:
-        self.shards, self.n_shards = shards, n_shards
+    """Shards by the leading part of the hash, loaded when they are asked for; the last used are kept, up to so many bytes."""
+
+    def __init__(self, load: Callable[[int], Shard | None], n_shards: int, most_bytes: int = MOST_BYTES) -> None:
+        self.load, self.n_shards, self.most_bytes = load, n_shards, most_bytes
+        self.held: OrderedDict[int, Shard | None] = OrderedDict()
+        self.size = 0
+
+    def shard(self, k: int) -> Shard | None:
+        if k in self.held:
+            self.held.move_to_end(k)
+            return self.held[k]
+        found = self.held[k] = self.load(k)
+        self.size += found.nbytes() if found else 0
+        while self.size > self.most_bytes and len(self.held) > 1:
+            old = self.held.popitem(last=False)[1]
+            self.size -= old.nbytes() if old else 0
+        return found
 
     def count(self, hashes: np.ndarray) -> np.ndarray:
-        if self.n_shards == 1:
-            return self.shards[0].count(hashes) if self.shards else np.zeros(len(hashes), np.int64)
-        out, shard = np.zeros(len(hashes), np.int64), shard_of(hashes, self.n_shards)
-        for k in np.unique(shard):
-            if int(k) in self.shards:
-                own = shard == k
-                out[own] = self.shards[int(k)].count(hashes[own])
+        out, own = np.zeros(len(hashes), np.int64), shard_of(hashes, self.n_shards)
+        order = np.argsort(own, kind="stable")
+        for at in np.split(order, np.flatnonzero(np.diff(own[order])) + 1):
+            if len(at) and (shard := self.shard(int(own[at[0]]))) is not None:
+                out[at] = shard.count(hashes[at])
         return out
 
 
@@ -181,16 +213,51 @@ def built(frequent: DataFrame, n_shards: int) -> DataFrame:
     return frequent.select(at.alias("shard"), "h", "n").groupBy("shard").applyInPandas(build, "shard int, arrays binary")
 
 
-def indexed(docs: DataFrame, *, text_col: str = "text", min_docs: int = 10, min_key: int = 1) -> tuple[DataFrame, int, int]:
-    """The written shards of the lines that at least min_docs documents have, their number and their bytes."""
-    frequent = scratch.written(line_counts(docs, text_col=text_col, min_key=min_key).where(F.col("n") >= min_docs), "lines-frequent")
+def _saved(rows: DataFrame, label: str) -> str:
+    """Where rows are written as a folder for each shard."""
+    path = scratch.new_path(rows.sparkSession, label)
+    rows.write.partitionBy("shard").parquet(path)
+    return path
+
+
+def _loader(arrays: str, others: str | None = None) -> Callable[[int], Shard | None]:
+    """Reads a shard by its number; none if the folder has no such one."""
+
+    def column(path: str, k: int, name: str) -> list:
+        where, folder = fs.FileSystem.from_uri(path if "://" in path else "file://" + path.removeprefix("file:"))
+        at = f"{folder}/shard={k}"
+        if where.get_file_info(at).type == fs.FileType.NotFound:
+            return []
+        return pyarrow.dataset.dataset(at, filesystem=where, format="parquet").to_table(columns=[name]).column(name).to_pylist()
+
+    def load(k: int) -> Shard | None:
+        found = column(arrays, k, "arrays")
+        if not found:
+            return None
+        shard = pickle.loads(found[0])
+        if others:
+            shard.others = np.sort(np.array(column(others, k, "h"), np.int64).view(np.uint64))
+        return shard
+
+    return load
+
+
+def indexed(docs: DataFrame, *, text_col: str = "text", min_docs: int = 10, min_key: int = 1) -> tuple[Callable[[int], Shard | None], int]:
+    """A loader of the shards of the lines that at least min_docs documents have, and their number."""
+    counts = scratch.written(line_counts(docs, text_col=text_col, min_key=min_key), "lines-counts")
+    frequent = counts.where(F.col("n") >= min_docs)
     n_shards = max(1, -(-frequent.count() // SHARD_ROWS))
-    shards = scratch.written(built(frequent, n_shards), "lines-shards")
-    return shards, n_shards, shards.agg(F.coalesce(F.sum(F.length("arrays")), F.lit(0))).first()[0]
+    arrays = _saved(built(frequent, n_shards), "lines-shards")
 
+    def unlucky(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        index = Index(_loader(arrays), n_shards)
+        for batch in batches:
+            hashes = batch.column(0).to_numpy().view(np.uint64)
+            hit = hashes[index.count(hashes) > 0]
+            yield pa.RecordBatch.from_arrays([pa.array(shard_of(hit, n_shards).astype(np.int32)), pa.array(hit.view(np.int64))], names=["shard", "h"])
 
-def _loaded(rows: list, n_shards: int) -> Index:
-    return Index({r["shard"]: pickle.loads(r["arrays"]) for r in rows}, n_shards)
+    others = _saved(counts.where(F.col("n") < min_docs).select("h").mapInArrow(unlucky, "shard int, h long").repartition("shard"), "lines-others")  # one in 65,536
+    return _loader(arrays, others), n_shards
 
 
 def dropped_positions(index: Index, lists: list[list[bytes]], min_docs: int, min_key: int) -> list[np.ndarray]:
@@ -211,17 +278,15 @@ CLEANED = "text string, n_lines long, n_dropped long, kept_sha256 string"
 
 
 def cleaned(docs: DataFrame, *, text_col: str = "text", min_docs: int = 10, min_key: int = 1, most_bytes: int = MOST_BYTES) -> DataFrame:
-    """row (a struct of all columns of docs but the text) and the columns of CLEANED, a row for each row of docs."""
-    spark = docs.sparkSession
-    shards, n_shards, n_bytes = indexed(docs, text_col=text_col, min_docs=min_docs, min_key=min_key)
+    """row (a struct of all columns of docs but the text) and the columns of CLEANED, a row for each row of docs. min_docs is MOST_COUNT at most."""
+    if min_docs > MOST_COUNT:
+        raise ValueError(f"counts end at {MOST_COUNT}")
+    load, n_shards = indexed(docs, text_col=text_col, min_docs=min_docs, min_key=min_key)
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != text_col]) if len(docs.columns) > 1 else F.struct(F.lit(1).alias("none"))
     rows = docs.select(row.alias("row"), F.col(f"`{text_col}`").cast("string").alias("text"))
-    if n_bytes > most_bytes:
-        return _in_rounds(rows, shards, n_shards, n_bytes, min_docs, min_key, most_bytes)
-    sent = spark.sparkContext.broadcast([r.asDict() for r in shards.collect()])  # at most most_bytes
 
     def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index = _loaded(sent.value, n_shards)
+        index = Index(load, n_shards, most_bytes)
         for batch in batches:
             yield from _rewritten(batch, lambda lists: dropped_positions(index, lists, min_docs, min_key))
 
@@ -230,9 +295,8 @@ def cleaned(docs: DataFrame, *, text_col: str = "text", min_docs: int = 10, min_
 
 
 def _rewritten(batch: pa.RecordBatch, gone_of) -> Iterator[pa.RecordBatch]:
-    step = 512
-    for first in range(0, batch.num_rows, step):
-        part = batch.slice(first, step)
+    for first in range(0, batch.num_rows, STEP):
+        part = batch.slice(first, STEP)
         lists = [split(text) for text in tokens.each(part.column(1))]
         texts, dropped = [], []
         for own, gone in zip(lists, gone_of([keys(own) for own in lists])):
@@ -243,49 +307,6 @@ def _rewritten(batch: pa.RecordBatch, gone_of) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays(columns, names=["row", "text", "n_lines", "n_dropped", "kept_sha256"])
 
 
-def _in_rounds(rows: DataFrame, shards: DataFrame, n_shards: int, n_bytes: int, min_docs: int, min_key: int, most_bytes: int) -> DataFrame:
-    """As cleaned, for an index of any size: rounds of shards probe a table of line hashes, then texts meet the hits by row."""
-    spark = rows.sparkSession
-
-    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids, lists = [], []
-            for key, text in zip(batch.column(0).to_pylist(), tokens.each(batch.column(1))):
-                ids.append(key)
-                lists.append(list({np.uint64(key_hash(k)).astype(np.int64).item() for k in keys(split(text)) if long_enough(k, min_key)}))
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.string()), pa.array(lists, pa.list_(pa.int64()))], names=["id", "hashes"])
-
-    named = rows.withColumn("id", F.concat(F.xxhash64("row", "text").cast("string"), F.lit(":"), F.sha2(F.coalesce("text", F.lit("")), 256)))
-    slim = scratch.written(named.select("id", "text").mapInArrow(hashed, "id string, hashes array<long>").dropDuplicates(["id"]), "lines-hashes")
-    n_rounds = -(-n_bytes // most_bytes)
-    hits = None
-    for k in range(n_rounds):
-        own = shards.where(F.pmod("shard", F.lit(n_rounds)) == k).collect()  # about most_bytes
-        sent = spark.sparkContext.broadcast([r.asDict() for r in own])
-
-        def probe(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            index = _loaded(sent.value, n_shards)
-            for batch in batches:
-                lists = batch.column(1)
-                flat = lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
-                owner = np.repeat(np.arange(len(lists)), np.diff(lists.offsets.to_numpy()))
-                hit = index.count(flat) >= min_docs
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(owner[hit])), pa.array(flat[hit].view(np.int64))], names=["id", "h"])
-
-        found = scratch.written(slim.mapInArrow(probe, "id string, h long"), "lines-hits")
-        hits = found if hits is None else hits.unionByName(found)
-    gone = hits.groupBy("id").agg(F.collect_set("h").alias("gone"))
-    met = named.join(gone, "id", "left").select("row", "text", F.coalesce("gone", F.array().cast("array<long>")).alias("gone"))
-
-    def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            sets = iter([{np.int64(h).astype(np.uint64).item() for h in x} for x in batch.column(2).to_pylist()])
-            yield from _rewritten(batch, lambda lists: [np.array([key_hash(k) in own and long_enough(k, min_key) for k in keys_], bool) for keys_, own in zip(lists, sets)])
-
-    kind = rows.schema["row"].dataType.simpleString()
-    return met.mapInArrow(clean, f"row {kind}, {CLEANED}")
-
-
 def without_shared_lines(docs: DataFrame, *, text_col: str = "text", min_docs: int = 10, min_key: int = 1) -> DataFrame:
     """docs with the shared lines gone from the text, all other columns as they are."""
     out = cleaned(docs, text_col=text_col, min_docs=min_docs, min_key=min_key)

@@ -59,4 +59,28 @@ def test_minimal_perfect_hash(own, others, gamma, levels):
     assert sorted(shard.number(h).tolist()) == list(range(len(h)))
     assert shard.count(h).tolist() == list(range(1, len(h) + 1))
     foreign = np.array(sorted(others - own), np.uint64)
-    assert shard.count(foreign).tolist() == [0] * len(foreign)
+    shard.others = foreign[shard.count(foreign) > 0]
+    assert shard.count(foreign).tolist() == [0] * len(foreign) and shard.count(h).tolist() == list(range(1, len(h) + 1))
+
+
+def test_fingerprints_are_compact_and_answer_for_no_other_line(spark, monkeypatch):
+    """With a fingerprint that is the same for all lines, those that are not indexed are told apart all the same."""
+    h = np.random.default_rng(1).integers(0, 2**64, 100_000, dtype=np.uint64)
+    assert lines.Shard.of(h, np.full(len(h), 70_000)).nbytes() < 5.5 * len(h)
+    one = lines.Shard.of(h[:100], np.full(100, 70_000))
+    assert (one.count(h[:100]) == lines.MOST_COUNT).all()
+    rows = [(k, f"shared\nown line {k}\nother {k % 7}") for k in range(40)]
+    loaded = lines.indexed(documents(spark, rows), min_docs=10)[0](0)
+    assert len(loaded.fingerprints) == 1
+    with pytest.raises(ValueError):
+        lines.cleaned(documents(spark, rows), min_docs=70_000)
+
+
+def test_the_index_keeps_a_bounded_part_of_itself():
+    calls = []
+    h = np.sort(np.random.default_rng(2).integers(0, 2**64, 4000, dtype=np.uint64))
+    own = lines.shard_of(h, 8)
+    made = {k: lines.Shard.of(h[own == k], np.full((own == k).sum(), 12)) for k in range(8)}
+    index = lines.Index(lambda k: calls.append(k) or made[k], 8, made[0].nbytes() * 3)
+    assert (index.count(h) == 12).all() and (index.count(h[::-1]) == 12).all()
+    assert index.size <= made[0].nbytes() * 3 and len(calls) > 8
