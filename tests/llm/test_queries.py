@@ -1,12 +1,13 @@
 """The registered queries on the smallest tables, against their SQL, and the pipeline against a plain version."""
 
+import os
 import zlib
 
 import duckdb
 import pytest
 
 import corpus_pipeline
-from docloom.llm import convnet, mixing, packing, tokens
+from docloom.llm import convnet, mixing, packing, scratch, tokens
 from docloom.llm.queries import QUERIES
 from docloom.llm.sql import SQL
 from tests.llm.helpers import lower
@@ -79,3 +80,17 @@ def test_run_applies_all_stages(spark):
     out = corpus_pipeline.run(spark, TINY)
     assert out.count() > 50 and {"doc_id", "piece", "sequence_id", "offset"} <= set(out.columns)
     assert [name for name, _ in corpus_pipeline.STAGES] == ["quality classifier", "line dedup", "near dedup", "mix sources", "pack"] and corpus_pipeline.ORACLE_SQL is None
+
+
+def test_run_leaves_its_last_table_alone(spark, monkeypatch):
+    """Of what the pipeline wrote only its result stays, and the caller's setting is as it was."""
+    monkeypatch.setattr(corpus_pipeline, "STAGES", [s for s in corpus_pipeline.STAGES if s[0] in ("line dedup", "mix sources", "pack")])
+    folder, setting = scratch.shared_dir(spark).removeprefix("file://"), corpus_pipeline._BATCH
+    before = set(os.listdir(folder))
+    spark.conf.set(setting, 777)
+    try:
+        out = corpus_pipeline.run(spark, TINY)
+        assert out.count() > 0 and spark.conf.get(setting) == "777"
+    finally:
+        spark.conf.unset(setting)
+    assert [n.rsplit("-", 1)[0] for n in set(os.listdir(folder)) - before if not n.endswith(".crc")] == ["pipeline-pack"]
