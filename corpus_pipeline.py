@@ -1,7 +1,8 @@
 """From documents to packed training sequences: classify, drop shared lines, drop near copies, mix, pack.
 
 ``run`` writes each stage's rows as Parquet to the shared folder and reads them again as
-the next stage's documents. All stages but the last return the columns of documents.
+the next stage's documents. All stages but the last return the columns of documents. What a
+stage wrote for itself, and the rows that it read, are dropped when its own are written.
 """
 
 from __future__ import annotations
@@ -14,10 +15,12 @@ from docloom.llm import convnet, lines, mixing, neardup, packing, scratch, token
 
 #: Texts are sent to Python in batches of so many rows, as those that follow one another may all be long.
 BATCH_ROWS = 1000
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
 def _short_batches(spark: SparkSession) -> None:
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+    """The rows of a stage are made after it returned, so the setting stays; ``run`` puts the caller's back."""
+    spark.conf.set(_BATCH, BATCH_ROWS)
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -59,7 +62,17 @@ ORACLE_SQL: str | None = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for name, stage in STAGES:
-        docs = scratch.written(stage(spark, docs, sf_dir), "pipeline-" + name.replace(" ", "-"))
+    docs, before, batch = spark.read.parquet(f"{sf_dir}/documents.parquet"), None, spark.conf.get(_BATCH)
+    try:
+        for name, stage in STAGES:
+            path = scratch.new_path(spark, "pipeline-" + name.replace(" ", "-"))
+            with scratch.temporary(spark):
+                rows = stage(spark, docs, sf_dir)
+                rows.write.parquet(path)
+            docs = spark.read.schema(rows.schema).parquet(path)
+            if before:
+                scratch.drop(spark, before)
+            before = path
+    finally:
+        spark.conf.set(_BATCH, batch)
     return docs
