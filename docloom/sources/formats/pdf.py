@@ -1,6 +1,6 @@
 """A small reader of PDF text: objects, object streams, page tree, text operators and ToUnicode maps.
 
-Best effort: encrypted files raise; fonts without a ToUnicode map are read as Windows
+Best effort: files with a password raise, those encrypted under an empty one are opened; fonts without a ToUnicode map are read as Windows
 Latin; moves between lines become spaces.
 """
 
@@ -12,6 +12,7 @@ from collections.abc import Iterator
 from typing import Any
 
 from docloom.sources.formats.base import Content, properties
+from docloom.sources.formats.pdf_crypt import Cipher
 
 #: Pages are read until their text is so long.
 MOST_CHARS = 500_000
@@ -106,6 +107,7 @@ class Document:
         if b"%PDF" not in data[:1024]:
             raise ValueError("not a PDF file")
         self.objects: dict[int, Any] = {}
+        self.generations: dict[int, int] = {}
         self.trailer: dict[str, Any] = {}
         self._scan(data)
         for m in re.finditer(rb"\btrailer\b", data):
@@ -116,7 +118,7 @@ class Document:
             if isinstance(stream, Stream) and stream.about.get("Type") == "XRef":
                 self.trailer |= {k: v for k, v in stream.about.items() if k in ("Root", "Info", "Encrypt")}
         if "Encrypt" in self.trailer:
-            raise ValueError("encrypted PDF files are not read")
+            self._open()
         for stream in [x for x in self.objects.values() if isinstance(x, Stream) and x.about.get("Type") == "ObjStm"]:
             self._unpack(stream)
 
@@ -143,7 +145,32 @@ class Document:
                     end = data.find(b"endstream", first)
                     end = len(data) if end < 0 else end
                 value, at = Stream(value, data[first:end]), end
-            self.objects[int(m[1])] = value
+            self.objects[int(m[1])], self.generations[int(m[1])] = value, int(m[2])
+
+    def _open(self) -> None:
+        """Strings and streams of all objects as they were before encryption."""
+        def whole(value: Any) -> Any:
+            value = self.of(value)
+            return {k: whole(v) for k, v in value.items()} if isinstance(value, dict) else value
+
+        ids = self.of(self.trailer.get("ID"))
+        cipher = Cipher(whole(self.trailer["Encrypt"]), ids[0] if isinstance(ids, list) and ids and isinstance(ids[0], bytes) else b"")
+
+        def opened(value: Any, number: int) -> Any:
+            if isinstance(value, bytes):
+                return cipher.opened(value, number, self.generations[number])
+            if isinstance(value, list):
+                return [opened(v, number) for v in value]
+            if isinstance(value, dict):
+                return {k: opened(v, number) for k, v in value.items()}
+            if isinstance(value, Stream) and value.about.get("Type") != "XRef":
+                return Stream(opened(value.about, number), cipher.opened(value.raw, number, self.generations[number]))
+            return value
+
+        own = self.trailer["Encrypt"]
+        for number, value in self.objects.items():
+            if not (isinstance(own, Ref) and int(own) == number):
+                self.objects[number] = opened(value, number)
 
     def _unpack(self, stream: Stream) -> None:
         data = self.bytes_of(stream)

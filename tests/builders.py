@@ -1,5 +1,6 @@
 """Small files of each format, built in memory."""
 
+import hashlib
 import io
 import struct
 import zipfile
@@ -180,3 +181,42 @@ def pdf(compressed=False, title=b"(My \\(title\\))"):
         b"<</Title %s/Author (Me)>>" % title, b"<</Length %d>>stream\n%s\nendstream" % (len(cmap), cmap),
     ]
     return b"%PDF-1.4\n" + b"\n".join(b"%d 0 obj%s\nendobj" % (k + 1, p) for k, p in enumerate(parts)) + b"\ntrailer<</Root 1 0 R/Info 8 0 R>>\n%%EOF"
+
+
+def rc4(key, data):
+    s, j, out = list(range(256)), 0, []
+    for i in range(256):
+        j = (j + s[i] + key[i % len(key)]) % 256
+        s[i], s[j] = s[j], s[i]
+    i = j = 0
+    for c in data:
+        i = (i + 1) % 256
+        j = (j + s[i]) % 256
+        s[i], s[j] = s[j], s[i]
+        out.append(c ^ s[(s[i] + s[j]) % 256])
+    return bytes(out)
+
+
+def locked_pdf(password=b"", revision=3):
+    """A page and a title under RC4, as the format's algorithms 1 to 5 have it; 128 bits from revision 3 on, else 40."""
+    pad = bytes.fromhex("28bf4e5e4e758a4164004e56fffa01082e2e00b6d0683e802f0ca9fe6453697a")
+    md5 = lambda x: hashlib.md5(x).digest()
+    size, owner, one = (16 if revision > 2 else 5), bytes(range(32)), b"0123456789abcdef"
+    key = md5((password + pad)[:32] + owner + struct.pack("<i", -44) + one)
+    for _ in range(50 if revision > 2 else 0):
+        key = md5(key[:size])
+    key = key[:size]
+    user = rc4(key, pad)
+    if revision > 2:
+        user = md5(pad + one)
+        for k in range(20):
+            user = rc4(bytes(x ^ k for x in key), user)
+        user += b"\0" * 16
+    hidden = lambda number, data: rc4(md5(key + struct.pack("<I", number)[:3] + b"\0\0")[: min(16, size + 5)], data)
+    content = hidden(4, b"BT (Hidden words) Tj ET")
+    parts = [
+        b"<</Type/Catalog/Pages 2 0 R>>", b"<</Type/Pages/Kids[3 0 R]/Count 1>>", b"<</Type/Page/Parent 2 0 R/Contents 4 0 R/Resources<<>>>>",
+        b"<</Length %d>>stream\n%s\nendstream" % (len(content), content), b"<</Title <%s>>>" % hidden(5, b"Secret title").hex().encode(),
+        b"<</Filter/Standard/V %d/R %d/Length %d/P -44/O<%s>/U<%s>>>" % (2 if revision > 2 else 1, revision, 8 * size, owner.hex().encode(), user.hex().encode()),
+    ]
+    return b"%PDF-1.4\n" + b"\n".join(b"%d 0 obj%s\nendobj" % (k + 1, p) for k, p in enumerate(parts)) + b"\ntrailer<</Root 1 0 R/Info 5 0 R/Encrypt 6 0 R/ID[<%s><00>]>>\n%%%%EOF" % one.hex().encode()

@@ -1,6 +1,7 @@
 import pytest
 
 from docloom.sources import formats
+from docloom.sources.formats import pdf_crypt
 from docloom.sources.formats import DEFAULT, Eml, Epub, Image, LegacyOffice, Msg, OfficeOpenXml, OpenDocument, Pdf, PlainText, Rtf, chosen
 from tests import builders as b
 
@@ -103,6 +104,20 @@ def test_pdf(compressed):
         Pdf().extract("a.pdf", b"no")
 
 
+@pytest.mark.parametrize("revision", [2, 3])
+def test_pdf_under_an_empty_password(revision):
+    found = Pdf().extract("a.pdf", b.locked_pdf(revision=revision))
+    assert found.metadata == {"Title": "Secret title", "Pages": "1"} and found.text.split() == ["Hidden", "words"]
+    with pytest.raises(ValueError, match="password"):
+        Pdf().extract("a.pdf", b.locked_pdf(b"key", revision))
+
+
+def test_ciphers_by_their_published_vectors():
+    assert pdf_crypt.rc4(b"Key", b"Plaintext").hex() == "bbf316e8d940af0ad3"
+    for size, block in ((16, "69c4e0d86a7b0430d8cdb78070b4c55a"), (32, "8ea2b7ca516745bfeafc49904b496089")):
+        assert pdf_crypt.aes_cbc(bytes(range(size)), bytes(16) + bytes.fromhex(block)).hex() == "00112233445566778899aabbccddeeff"
+
+
 def test_choice():
     class Own:
         def can_handle(self, extension):
