@@ -9,6 +9,7 @@ import threading
 from collections.abc import Iterator
 from contextlib import contextmanager
 from dataclasses import dataclass, field
+from functools import lru_cache
 
 from docloom.operators.redaction.rules import RULES, TOKENS
 from docloom.options import Level, RedactorOptions
@@ -38,7 +39,7 @@ class _TimedOut(Exception):
 
 @contextmanager
 def _limited(seconds: float) -> Iterator[None]:
-    """Ends the pattern matching in its block after that time, where signals can be had (the main thread)."""
+    """Ends the pattern matching in its block after that time, where signals can be had (the main thread; elsewhere see ``_matches``)."""
     if threading.current_thread() is not threading.main_thread() or not hasattr(signal, "setitimer"):
         yield
         return
@@ -55,6 +56,29 @@ def _limited(seconds: float) -> Iterator[None]:
         signal.signal(signal.SIGALRM, before)
 
 
+@lru_cache(maxsize=256)
+def _timed(pattern: re.Pattern[str]):
+    """The pattern for a library that ends by itself after a time, or None if there is none or it cannot read it."""
+    try:
+        import regex
+
+        return regex.compile(pattern.pattern, regex.V0 | (regex.IGNORECASE if pattern.flags & re.IGNORECASE else 0))
+    except Exception:
+        return None
+
+
+def _matches(pattern: re.Pattern[str], text: str, custom: bool) -> Iterator:
+    """Matches of a rule; one of the caller's is stopped after TIMEOUT_S: by a signal, or off the main thread by the library."""
+    own = _timed(pattern) if custom and threading.current_thread() is not threading.main_thread() else None
+    if own is None:
+        yield from pattern.finditer(text)
+        return
+    try:
+        yield from own.finditer(text, timeout=TIMEOUT_S)
+    except TimeoutError:
+        raise _TimedOut from None
+
+
 def stable_code(value: str, salt: str | None) -> str:
     """Eight hex digits that equal values share."""
     return hashlib.sha256(f"{salt or ''}\0{value}".encode("utf-8", "surrogatepass")).hexdigest()[:8]
@@ -138,7 +162,7 @@ class Redactor:
             new = False
             try:
                 with _limited(TIMEOUT_S) if custom else _free():
-                    for m in pattern.finditer(work):
+                    for m in _matches(pattern, work, custom):
                         value = m.group()
                         if check is not None and not check(value) or value.lower() in self.options.allow:
                             continue

@@ -1,4 +1,5 @@
 import random
+import threading
 import time
 
 import pytest
@@ -201,3 +202,19 @@ def test_records_and_sql(spark):
     register(spark, "redact_test", Level.STANDARD)
     assert spark.sql("select redact_test('to a@b.com') as t").first().t == "to [EMAIL]"
     assert df.select(redacted_text(F.col("text"))).count() == 3
+
+
+def test_a_callers_rule_is_stopped_in_any_thread():
+    """Matches before the time is up stay; the rules behind it still run."""
+    options = RedactorOptions(custom=[CustomRule("Slow", r"ok1|(a|aa)+$"), CustomRule("Late", "late")])
+    text, found = "ok1 " + "a" * 60 + "! late", []
+
+    def run():
+        began = time.time()
+        found.append((Redactor(options).redact(text).text, time.time() - began))
+
+    run()
+    thread = threading.Thread(target=run)
+    thread.start()
+    thread.join(30)
+    assert len(found) == 2 and all(t == "[SLOW] " + "a" * 60 + "! [LATE]" and seconds < 5 for t, seconds in found)
