@@ -4,30 +4,41 @@ Each text's set of five-word shingles is hashed once; the hash's leading part na
 of K bins and the least hash of a bin is its value. An empty bin takes the value of a bin
 that a sequence of hashes of its own number finds first (Shrivastava, 2017). Bands of
 values make buckets. A bucket is a star: its most popular member, by how many others
-share buckets with it, is compared with each other member: on one byte of each value,
-and if enough of them agree on the full sets. Further
-rounds take a new centre in each bucket whose members still lie in several components,
-until a round finds no new link. Members of buckets that still lie in several components
-are then joined exactly: with the shingles in one order, the least common first, two sets
-alike enough have one in common among the first few of both (prefix filter; Xiao and
-others, 2008), and all pairs of other components that have are compared. Long lists of
-such a shingle are first taken as buckets, so that dense groups are one component before.
-
-Equal sets are one node, whose members are never paired with each other. A pair at the
-threshold shares no bucket with probability (1 - 0.7**3)**32, below 2e-6, and has too
-few agreeing values with one below 1e-6.
+share buckets with it, is compared with each other member: on sizes, on one byte of each
+value, and if enough of them agree on the full sets. Further rounds take a new centre in
+each bucket whose members still lie in several components, as long as a tenth of the pairs
+compared are links.
+
+Stars alone lose links between members that are no centres, and the bytes some pairs. So
+all members of buckets that still lie in several components are then joined exactly: with
+the shingles in one order, the least common first, two sets alike enough have one in
+common among the first few of both (prefix filter; Xiao and others, 2008). Long lists of
+such a shingle are first taken as stars, so that dense groups are one component before;
+then each pair of different components with a shingle in common is compared on the full
+sets, unless its sizes or the places of the common shingles rule it out (an upper bound of
+the overlap, which drops no link).
+
+Equal sets (by a hash of 128 bits) are one node, whose members are never paired with each
+other; a node's number is a hash of 64 bits of one of its rows. A pair at the
+threshold of 70 percent shares no bucket with probability (1 - 0.7**3)**32, below 2e-6; this
+is the only loss. Bands are made for 70 percent and more; less is refused.
 
 Defined results: a null, empty or blank text has an empty set and is linked with nothing;
-a text of one to four words has one shingle, its whole sequence; rows with equal text and
-any ids are one node; a node's least id is that of its rows that have one (a null id is
-kept with component null only if no row of the component has an id); rows repeated as a
-whole get equal results. An empty table gives no rows. Other columns are ignored.
-
-Data sizes: texts are read once for their features and once a round; only texts of pairs
-whose values agree are shuffled, and of members of unresolved buckets at most three
-tenths of the shingles. Pairs of the last join grow with the square of a rare shingle's
-list, if its texts are alike but not enough. Buckets are counted with partial sums and stars joined with adaptive
-skew splitting, so one bucket may hold any share of all rows.
+a text of one to four words has one shingle, its whole sequence; a very long text is
+hashed whole, in a run of its own; rows with equal text and any ids are one node; a node's
+least id is that of its rows that have one (a null id is kept with component null only if
+no row of the component has an id); rows repeated as a whole get equal results. An empty
+table gives no rows. Other columns are ignored (``deduplicated``: kept).
+
+Data sizes: texts are read once for their features and once a round; texts of pairs are
+found by a bitmap of MARKS bits and shuffled, of members of unresolved buckets at most
+three tenths of the shingles. A star's centre is no longer than 10/7 of a member, so pairs
+move about twice their members' bytes. Pairs of the last join grow with the square of a
+rare shingle's list where its texts are alike, but not enough, and in different components.
+Buckets are counted with partial sums, lists are cut into parts of LIST_PART nodes, and
+stars are joined with adaptive skew splitting, so one bucket may hold any share of all
+rows. Nothing is broadcast but what Spark's own threshold allows, the bitmap, and
+MOST_COMMON counts of shingles, which only decide an order.
 """
 
 from __future__ import annotations
@@ -48,18 +59,18 @@ WORDS = 5
 PERCENT = 70
 BANDS, BAND_ROWS = 32, 3
 BINS = BANDS * BAND_ROWS
-#: Pairs of sets of LARGE shingles or more are compared only if so many of the BINS values agree; at the threshold 67 do, with a deviation below 5.
-LEAST_AGREEING, LARGE = 45, 200
-#: Keys of candidate texts are broadcast up to so many; beyond, texts are joined by shuffle.
-MOST_BROADCAST = 1_000_000
+#: A star's pairs of sets of LARGE shingles or more are compared only if as many of the BINS values agree as at the threshold, less five deviations; the others are left to the exact join.
+LARGE = 200
+#: A round of stars follows another if one in so many pairs compared was a link.
+PRODUCTIVE = 10
+#: Bits of the map that finds the texts of pairs: 8 MB.
+MARKS = 1 << 26
 #: Texts of pairs that are compared at once have about so many bytes.
 VERIFY_BYTES = 1_000_000
 #: Nodes whose shingles are counted to find the common ones, and common ones that are known.
 COUNTED, MOST_COMMON = 10_000, 500_000
-#: Members of a rare shingle's list up to which all pairs are compared at once.
-SHORT_LIST = 32
-#: Verified links that one task may unite.
-MOST_TOGETHER = 500_000
+#: Members of a rare shingle's list up to which all pairs are compared at once, and about so many of a list are in a part.
+SHORT_LIST, LIST_PART = 32, 512
 _EMPTY = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
@@ -154,12 +165,17 @@ def _row_key(id_col: str, text_col: str):
     return F.xxhash64(F.col(f"`{id_col}`"), F.col(f"`{text_col}`"))
 
 
-def _plausible(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def least_agreeing(percent: int) -> int:
+    share = percent / 100
+    return int(BINS * share - 5 * (BINS * share * (1 - share)) ** 0.5)
+
+
+def _plausible(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
     """Those pairs (a, b, sketch of a, sketch of b) that may be alike enough."""
     for batch in batches:
         x, y = (np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint8).reshape(batch.num_rows, BINS + 1) for k in (2, 3))
         small = np.minimum(x[:, BINS], y[:, BINS]) < LARGE
-        mask = pa.array(small | ((x[:, :BINS] == y[:, :BINS]).sum(1) >= LEAST_AGREEING))
+        mask = pa.array(small | ((x[:, :BINS] == y[:, :BINS]).sum(1) >= least_agreeing(percent)))
         yield pa.RecordBatch.from_arrays([batch.column(0).filter(mask), batch.column(1).filter(mask)], names=["a", "b"])
 
 
@@ -199,7 +215,7 @@ def _shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _prefixes(batches: Iterator[pa.RecordBatch], common: np.ndarray, counts: np.ndarray, percent: int) -> Iterator[pa.RecordBatch]:
-    """node, size, x and lead: the first shingles of each text, by count and hash. A set shares one of them with any set alike enough, and a leading one with any that is not smaller."""
+    """node, size, x, place and lead: the first shingles of each text, by count and hash. A set shares one of them with any set alike enough, and a leading one with any that is not smaller."""
     for batch in batches:
         data, offsets = wordvec.buffers(batch.column(1))
         for a, b in wordvec.runs(offsets):
@@ -215,8 +231,8 @@ def _prefixes(batches: Iterator[pa.RecordBatch], common: np.ndarray, counts: np.
             some = place < (size - -(-percent * size // 100) + 1)[row]
             lead = place < (size - -(-2 * percent * size // (100 + percent)) + 1)[row]
             nodes = batch.column(0).slice(a, b - a).take(pa.array(row[some]))
-            out = [nodes, pa.array(size[row[some]], pa.int64()), pa.array(values[order][some].view(np.int64)), pa.array(lead[some])]
-            yield pa.RecordBatch.from_arrays(out, names=["node", "size", "x", "lead"])
+            out = [nodes, pa.array(size[row[some]], pa.int32()), pa.array(values[order][some].view(np.int64)), pa.array(place[some], pa.int32()), pa.array(lead[some])]
+            yield pa.RecordBatch.from_arrays(out, names=["node", "size", "x", "place", "lead"])
 
 
 def _edge_sum(edges: DataFrame) -> tuple:
@@ -224,38 +240,14 @@ def _edge_sum(edges: DataFrame) -> tuple:
     return tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
 
 
-def _united(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Components of all edges that one task gets."""
-    above: dict = {}
-
-    def root(x):
-        while (y := above.setdefault(x, x)) != x:
-            above[x] = above[y]
-            x = y
-        return x
-
-    kind = pa.binary()
-    for batch in batches:
-        kind = batch.column(0).type
-        for x, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            x, y = sorted((root(x), root(y)))
-            above[y] = x
-    nodes = list(above)
-    yield pa.RecordBatch.from_arrays([pa.array(nodes, kind), pa.array([root(x) for x in nodes], kind)], names=["node", "label"])
-
-
 def components(edges: DataFrame) -> DataFrame:
     """node, label: label is the least node of its component. edges has a and b; nodes without edges are absent.
 
-    Up to MOST_TOGETHER edges are united by one task. With more, large and small stars
-    alternate (Kiveris and others, 2014): each round joins every node with the least of
-    its neighbours until only stars are left.
+    Large and small stars alternate (Kiveris and others, 2014): each round joins every node
+    with the least of its neighbours until only stars are left.
     """
     known = scratch.written(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "cc")
     before = _edge_sum(known)
-    if before[0] <= MOST_TOGETHER:
-        kind = known.schema["a"].dataType.simpleString()
-        return known.coalesce(1).mapInArrow(_united, f"node {kind}, label {kind}")
     while True:
         both = known.unionByName(known.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
@@ -272,109 +264,120 @@ def components(edges: DataFrame) -> DataFrame:
     return known.select(F.col("a").alias("node"), F.col("b").alias("label")).unionByName(roots.select("node", F.col("node").alias("label")))
 
 
-def _semi(left: DataFrame, keys: DataFrame, on: str) -> DataFrame:
-    """Rows of left with a key in keys, which are broadcast only if they are few."""
-    keys = keys.select(on).distinct()
-    if keys.limit(MOST_BROADCAST + 1).count() <= MOST_BROADCAST:
-        keys = F.broadcast(keys)
-    return left.join(keys, on, "left_semi")
-
-
-def _few(df: DataFrame) -> DataFrame:
-    """df, marked to be sent to all tasks if it has at most MOST_BROADCAST rows."""
-    return F.broadcast(df) if df.limit(MOST_BROADCAST + 1).count() <= MOST_BROADCAST else df
+def _marked(rows: DataFrame, keys: DataFrame) -> DataFrame:
+    """Rows whose number may be among those of the keys, by a bitmap of MARKS bits that goes to all tasks; few others, and none lost."""
+    bit = F.pmod("node", F.lit(MARKS))
+    byte, at = F.shiftright(F.col("_bit"), 3).cast("int"), F.col("_bit").bitwiseAND(F.lit(7)).cast("int")
+    bits = keys.select(bit.alias("_bit")).select(F.bitmap_bucket_number("_bit").alias("_block"), F.bitmap_bit_position("_bit").alias("_at"))
+    bits = scratch.written(bits.groupBy("_block").agg(F.bitmap_construct_agg("_at").alias("_map")), "near-marks")
+    met = rows.withColumn("_block", F.bitmap_bucket_number(bit)).withColumn("_bit", F.bitmap_bit_position(bit)).join(F.broadcast(bits), "_block")  # MARKS / 8 bytes at most
+    word = F.conv(F.hex(F.substring("_map", byte + 1, F.lit(1))), 16, 10).cast("int")
+    return met.where(F.call_function("getbit", word, at) == 1).select(*rows.columns)
 
 
 def links(docs: DataFrame, feats: DataFrame, *, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
-    """Verified links (a, b) between nodes, and the label of each node that has one."""
+    """Verified links (a, b) between nodes, and the label of each node that has one. A node's number is the least row_key of its rows."""
+    if percent < PERCENT:
+        raise ValueError(f"the bands find links of {PERCENT} percent and more, not of {percent}")
     spark = docs.sparkSession
-    nodes = feats.where("n_shingles > 0").groupBy("node").agg(F.min("row_key").alias("row_key"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch"))
-    nodes = scratch.written(nodes, "near-nodes")
+    nodes = feats.where("n_shingles > 0").groupBy("node").agg(F.min("row_key").alias("number"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch"), F.first("n_shingles").alias("size"))
+    nodes = scratch.written(nodes.drop("node").withColumnRenamed("number", "node"), "near-nodes")
     members = nodes.select("node", F.explode("bands").alias("key"))
     shared = members.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
     members = scratch.written(members.join(shared, "key"), "near-members")
     popular = members.groupBy("node").agg(F.sum("n").alias("pop"))
     members = scratch.written(members.join(popular, "node"), "near-popular")
-    rows = docs.select(_row_key(id_col, text_col).alias("row_key"), F.col(f"`{text_col}`").cast("string").alias("text"))
-
-    def verified(pairs: DataFrame) -> DataFrame:
-        """Pairs whose full sets are alike enough: by sketches first, then by the texts of those that are left."""
-        sketch = lambda side: nodes.select(F.col("node").alias(side), F.col("sketch").alias(f"{side}_sketch"))
-        near = sketch("a").join(_few(pairs), "a").join(sketch("b"), "b").select("a", "b", "a_sketch", "b_sketch")
-        near = scratch.written(near.mapInArrow(_plausible, "a binary, b binary"), "near-plausible")
-        ends = near.select(F.col("a").alias("node")).unionByName(near.select(F.col("b").alias("node"))).distinct()
-        keys = scratch.written(nodes.select("row_key", "node").join(ends, "node", "left_semi"), "near-keys")
-        texts = _semi(rows, keys, "row_key").groupBy("row_key").agg(F.first("text").alias("text")).join(_few(keys), "row_key")
-        texts = scratch.written(texts.select("node", "text"), "near-texts")
-        text = lambda side: texts.select(F.col("node").alias(side), F.col("text").alias(f"{side}_text"))
-        met = text("a").join(_few(near), "a").join(text("b"), "b").select("a", "b", "a_text", "b_text")
-        return scratch.written(met.mapInArrow(lambda x: _verify(x, percent), "a binary, b binary"), "near-links")
+    rows = docs.select(_row_key(id_col, text_col).alias("node"), F.col(f"`{text_col}`").cast("string").alias("text"))
+
+    def texts(keys: DataFrame) -> DataFrame:
+        """node and text of some nodes."""
+        # Not a semi-join: the optimizer would move that before the bitmap, and all texts would be shuffled.
+        return _marked(rows, keys).join(keys, "node").groupBy("node").agg(F.first("text").alias("text"))
+
+    def verified(near: DataFrame) -> DataFrame:
+        """Pairs whose full sets are alike enough."""
+        keys = scratch.written(near.select(F.col("a").alias("node")).unionByName(near.select(F.col("b").alias("node"))).distinct(), "near-keys")
+        own = texts(keys)  # shuffled once, by node, for both ends of the pairs
+        text = lambda side: own.select(F.col("node").alias(side), F.col("text").alias(f"{side}_text"))
+        met = text("a").join(near, "a").join(text("b"), "b").select("a", "b", "a_text", "b_text")
+        return scratch.written(met.mapInArrow(lambda x: _verify(x, percent), "a long, b long"), "near-links")
+
+    def plausible(pairs: DataFrame) -> DataFrame:
+        """Pairs whose sizes and sketches do not speak against a link."""
+        side = lambda name: nodes.select(F.col("node").alias(name), F.col("sketch").alias(f"{name}_sketch"), F.col("size").alias(f"{name}_size"))
+        met = side("a").join(pairs, "a").join(side("b"), "b").where(f"100 * least(a_size, b_size) >= {percent} * greatest(a_size, b_size)")
+        return met.select("a", "b", "a_sketch", "b_sketch").mapInArrow(lambda x: _plausible(x, percent), "a long, b long")
 
     found: list[DataFrame] = []
-    tested: list[DataFrame] = []
+    compared: list[DataFrame] = []
     labels = None
 
     def labelled(members: DataFrame) -> DataFrame:
         if labels is None:
             return members.withColumn("label", F.col("node"))
-        return members.join(_few(labels), "node", "left").withColumn("label", F.coalesce("label", "node"))
+        return members.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
 
     def mixed(now: DataFrame) -> DataFrame:
         """Those members whose bucket has several components."""
         several = now.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("key")
         return now.join(several, "key", "left_semi")
 
-    def tried(pairs: DataFrame) -> bool:
-        """Compares pairs that were not yet; whether there are new links."""
+    def tried(pairs: DataFrame, sketched: bool) -> bool:
+        """Compares pairs that were not yet; whether many of them are links."""
         nonlocal labels
-        for old in tested:
+        for old in compared:
             pairs = pairs.join(old, ["a", "b"], "left_anti")
-        pairs = scratch.written(pairs, "near-pairs")
-        if not pairs.take(1):
+        near = scratch.written(pairs, "near-pairs")
+        if sketched:
+            near = scratch.written(plausible(near), "near-plausible")
+        n = near.count()
+        if not n:
             return False
-        tested.append(pairs)
-        new = verified(pairs)
-        if not new.take(1):
+        compared.append(near)
+        new = verified(near)
+        if not (m := new.count()):
             return False
         found.append(new)
-        labels = scratch.written(components(reduce(DataFrame.unionByName, found)), "near-labels")
-        return True
+        known = new if labels is None else new.unionByName(labels.select(F.col("node").alias("a"), F.col("label").alias("b")))
+        labels = scratch.written(components(known), "near-labels")
+        return PRODUCTIVE * m >= n
 
     def stars(members: DataFrame) -> None:
-        """Rounds of a centre for each bucket, until one finds no new link."""
+        """Rounds of a centre for each bucket, as long as they find many links."""
         spent = None  # each bucket's earlier centres
         while True:
-            now = labelled(members) if spent is None else labelled(members.where("n > 2"))  # a bucket of two is done
+            now = labelled(members)
             now = scratch.written(now if labels is None else mixed(now), "near-now")
-            free = now
-            if spent is not None:
-                gone = spent.join(labels, spent["centre"] == labels["node"], "left").select("key", F.coalesce("label", "centre").alias("label")).distinct()
-                free = now.join(gone, ["key", "label"], "left_anti")
+            free = now if spent is None else now.join(spent, (now["key"] == spent["_key"]) & (now["node"] == spent["_node"]), "left_anti")
             centres = free.groupBy("key").agg(F.max(F.struct("pop", "node", "label")).alias("c")).select("key", F.col("c.node").alias("centre"), F.col("c.label").alias("centre_label"))
             centres = scratch.written(centres, "near-centres")
             star = now.join(centres, "key").where("label <> centre_label").select(F.greatest("node", "centre").alias("a"), F.least("node", "centre").alias("b"))
-            if not tried(star.distinct()):
+            if not tried(star.distinct(), True):
                 break
-            spent = centres.select("key", "centre") if spent is None else spent.unionByName(centres.select("key", "centre"))
+            own = centres.select(F.col("key").alias("_key"), F.col("centre").alias("_node"))
+            spent = own if spent is None else spent.unionByName(own)
+
+    def parts(now: DataFrame, name: str) -> DataFrame:
+        """Lists of about LIST_PART nodes of a shingle and component, so that nodes of one component are not paired."""
+        long = scratch.written(now.groupBy("key", "label").agg(F.count("*").alias("n")).where(F.col("n") > LIST_PART), "near-parts")
+        cut = now.join(long, ["key", "label"], "left").withColumn("part", F.pmod(F.xxhash64("node"), F.coalesce(F.ceil(F.col("n") / LIST_PART), F.lit(1))))
+        return cut.groupBy("key", F.col("label").alias(f"{name}_label"), "part").agg(F.collect_list(F.struct("size", "node", "place")).alias(name)).drop("part")
 
     def rest() -> None:
         """Compares all pairs of other components among the members of buckets that are still mixed: those that have a rare shingle in common."""
-        open_ = mixed(labelled(members.where("n > 2"))).select("node").distinct()
-        open_ = scratch.written(nodes.select("row_key", "node").join(open_, "node", "left_semi"), "near-open")
+        open_ = mixed(labelled(members)).select("node").distinct()
+        open_ = scratch.written(open_, "near-open")
         n = open_.count()
         if not n:
             return
-
-        def texts(keys: DataFrame) -> DataFrame:
-            return _semi(rows, keys, "row_key").groupBy("row_key").agg(F.first("text").alias("text")).join(_few(keys), "row_key").select("node", "text")
-
-        some = texts(open_.where(F.pmod(F.xxhash64("node"), F.lit(-(-n // COUNTED))) == 0)).mapInArrow(_shingles, "x long")
+        own = scratch.written(texts(open_), "near-texts")
+        some = own.where(F.pmod(F.xxhash64("node"), F.lit(-(-n // COUNTED))) == 0).mapInArrow(_shingles, "x long")
         most = some.groupBy("x").agg(F.count("*").alias("n")).where("n > 1").orderBy(F.desc("n"), "x").limit(MOST_COMMON).toArrow()
         common, counts = most.column("x").to_numpy().view(np.uint64), most.column("n").to_numpy()
         order = np.argsort(common)
         known = spark.sparkContext.broadcast((common[order], counts[order]))
-        kind = "node binary, size long, x long, lead boolean"
-        lists = texts(open_).mapInArrow(lambda x: _prefixes(x, *known.value, percent), kind).withColumnRenamed("x", "key")
+        kind = "node long, size int, x long, place int, lead boolean"
+        lists = own.mapInArrow(lambda x: _prefixes(x, *known.value, percent), kind).withColumnRenamed("x", "key")
         lists = scratch.written(lists, "near-prefixes")
         led = lists.groupBy("key").agg(F.count("*").alias("n"), F.max("lead").alias("led")).where("n > 1 and led").select("key")
         lists = scratch.written(lists.join(led, "key", "left_semi"), "near-lists")
@@ -384,19 +387,19 @@ def links(docs: DataFrame, feats: DataFrame, *, percent: int = PERCENT, id_col:
         if long.take(1):
             stars(scratch.written(long.join(long.groupBy("node").agg(F.sum("n").alias("pop")), "node"), "near-long"))
         now = scratch.written(mixed(labelled(lists)), "near-now")
-
-        def side(name: str, part: DataFrame) -> DataFrame:
-            """A list for each shingle and component, so that those of one component are not paired."""
-            return part.groupBy("key", F.col("label").alias(f"{name}_label")).agg(F.collect_list(F.struct("size", "node")).alias(name))
-
-        met = side("x", now.where("lead")).join(side("y", now), "key").where("x_label <> y_label")
+        met = parts(now.where("lead"), "x").join(parts(now, "y"), "key").where("x_label <> y_label")
         met = met.select(F.explode("x").alias("x"), "y").select("x", F.explode("y").alias("y")).where(f"x < y and 100 * x.size >= {percent} * y.size")
-        tried(met.select(F.greatest("x.node", "y.node").alias("a"), F.least("x.node", "y.node").alias("b")).distinct())
+        met = met.groupBy("x.node", "y.node").agg(
+            F.count("*").alias("n"), F.max("x.size").alias("x_size"), F.max("y.size").alias("y_size"), F.max("x.place").alias("x_place"), F.max("y.place").alias("y_place")
+        ).toDF("x", "y", "n", "x_size", "y_size", "x_place", "y_place")
+        # All shingles in common that are not counted come after the last one that is.
+        met = met.where(f"(100 + {percent}) * (n + least(x_size - x_place, y_size - y_place) - 1) >= {percent} * (x_size + y_size)")
+        tried(met.select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")), False)
 
     stars(members)
     rest()
     if not found:
-        none = spark.createDataFrame([], "a binary, b binary")
+        none = spark.createDataFrame([], "a long, b long")
         return none, none.select(F.col("a").alias("node"), F.col("b").alias("label"))
     return reduce(DataFrame.unionByName, found), labels
 
@@ -412,12 +415,12 @@ def clustered(docs: DataFrame, *, percent: int = PERCENT, id_col: str = "doc_id"
     """doc_id, row_key, n_shingles, component_id, n_links (of its node, those that the search verified: one at least if it has any, not all) and kept, a row for each row of docs."""
     feats = features(docs, id_col=id_col, text_col=text_col)
     pairs, labels = links(docs, feats, percent=percent, id_col=id_col, text_col=text_col)
-    classes = feats.where("n_shingles > 0").groupBy("node").agg(F.min("doc_id").alias("least"))
-    classes = classes.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    classes = feats.where("n_shingles > 0").groupBy("node").agg(F.min("doc_id").alias("least"), F.min("row_key").alias("number"))
+    classes = classes.join(labels.withColumnRenamed("node", "number"), "number", "left").withColumn("label", F.coalesce("label", "number"))
     classes = scratch.written(classes, "near-classes")
     least = classes.groupBy("label").agg(F.min("least").alias("component"))
-    degree = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).groupBy("node").agg(F.count("*").alias("links"))
-    classes = scratch.written(classes.join(least, "label").join(degree, "node", "left").select("node", "component", "links"), "near-components")
+    degree = pairs.select(F.col("a").alias("number")).unionByName(pairs.select(F.col("b").alias("number"))).groupBy("number").agg(F.count("*").alias("links"))
+    classes = scratch.written(classes.join(least, "label").join(degree, "number", "left").select("node", "component", "links"), "near-components")
     out = feats.select("doc_id", "row_key", "n_shingles", "node").join(classes, "node", "left")
     component = F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component"))
     return out.select(
@@ -430,9 +433,9 @@ def deduplicated(docs: DataFrame, *, percent: int = PERCENT, id_col: str = "doc_
     """One row of docs for each component: that of its least id (of rows repeated as a whole, one). Empty texts stay, one for each id."""
     kept = clustered(docs, percent=percent, id_col=id_col, text_col=text_col).where("kept").groupBy("row_key").agg(F.count("*").alias("n"))
     kept = scratch.written(kept, "near-kept")
-    at = docs.withColumn("_near_key", _row_key(id_col, text_col))
-    once = _semi(at, kept.where("n = 1").select(F.col("row_key").alias("_near_key")), "_near_key")
-    again = kept.where("n > 1").select(F.col("row_key").alias("_near_key"))
+    at = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), _row_key(id_col, text_col).alias("key"))
+    once = at.join(kept.where("n = 1").select(F.col("row_key").alias("key")), "key", "left_semi")
+    again = kept.where("n > 1").select(F.col("row_key").alias("key"))
     if again.take(1):
-        once = once.unionByName(_semi(at, again, "_near_key").dropDuplicates(["_near_key"]))
-    return once.select(*[F.col(f"`{c}`") for c in docs.columns])
+        once = once.unionByName(at.join(again, "key", "left_semi").dropDuplicates(["key"]))
+    return once.select("row.*")
