@@ -30,17 +30,20 @@ def shared_dir(spark: SparkSession) -> str:
     return named.rstrip("/")
 
 
-def new_path(spark: SparkSession, label: str) -> str:
-    return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
-
-
 #: The paths of each open ``temporary``.
 _made: list[list[str]] = []
 
 
+def new_path(spark: SparkSession, label: str) -> str:
+    path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    if _made:
+        _made[-1].append(path)
+    return path
+
+
 @contextmanager
 def temporary(spark: SparkSession) -> Iterator[None]:
-    """Tables that are written within are dropped at the end: no plan may read them after it."""
+    """What is written within, to paths that ``new_path`` gave there, is dropped at the end: no plan may read it after that."""
     _made.append([])
     try:
         yield
@@ -52,8 +55,6 @@ def written(df: DataFrame, label: str) -> DataFrame:
     """df, computed once: written as Parquet to the shared folder and read from there."""
     spark = df.sparkSession
     path = new_path(spark, label)
-    if _made:
-        _made[-1].append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
