@@ -228,6 +228,7 @@ def scored(docs: DataFrame, net: Network, *, id_col: str = "doc_id", text_col: s
             p = np.concatenate(out) if out else np.zeros(0)
             columns = [batch.column(0), batch.column(1), pa.array(p), pa.array((p >= threshold).astype(np.int32))]
             yield pa.RecordBatch.from_arrays(columns, names=["row", "text", "score", "predicted"])
+        tokens.trim()
 
     kind = rows.schema["row"].dataType.simpleString()
     return rows.mapInArrow(score, f"row {kind}, text string, score double, predicted int")

@@ -203,6 +203,7 @@ def _verify(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.Reco
                 linked[first + k] = both > 0 and 100 * both >= percent * (len(x) + len(last_set) - both)
         mask = pa.array(linked)
         yield pa.RecordBatch.from_arrays([batch.column(0).filter(mask), batch.column(1).filter(mask)], names=["a", "b"])
+    tokens.trim()
 
 
 def _shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -233,6 +234,7 @@ def _prefixes(batches: Iterator[pa.RecordBatch], common: np.ndarray, counts: np.
             nodes = batch.column(0).slice(a, b - a).take(pa.array(row[some]))
             out = [nodes, pa.array(size[row[some]], pa.int32()), pa.array(values[order][some].view(np.int64)), pa.array(place[some], pa.int32()), pa.array(lead[some])]
             yield pa.RecordBatch.from_arrays(out, names=["node", "size", "x", "place", "lead"])
+    tokens.trim()
 
 
 def _edge_sum(edges: DataFrame) -> tuple:
@@ -379,6 +381,7 @@ def links(docs: DataFrame, feats: DataFrame, *, percent: int = PERCENT, id_col:
         kind = "node long, size int, x long, place int, lead boolean"
         lists = own.mapInArrow(lambda x: _prefixes(x, *known.value, percent), kind).withColumnRenamed("x", "key")
         lists = scratch.written(lists, "near-prefixes")
+        known.destroy()
         led = lists.groupBy("key").agg(F.count("*").alias("n"), F.max("lead").alias("led")).where("n > 1 and led").select("key")
         lists = scratch.written(lists.join(led, "key", "left_semi"), "near-lists")
         leads = lists.where("lead").select("node", "key")

@@ -73,6 +73,7 @@ class BestFit:
 
 def _cutter(vocabulary: str, end_id: int, size: int, with_ids: bool, remembered: int = REMEMBERED, special_as_text: bool = True):
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tokens.trim()
         encode = tokens.encoder(vocabulary, special_as_text, remembered)
         end = np.array([end_id], "<u4").tobytes()
         for batch in batches:

@@ -122,9 +122,14 @@ def forget() -> None:
     """Gives up what this worker remembers, for a task that needs the room; tasks that tokenize begin anew."""
     if encoder.cache_info().currsize:
         encoder.cache_clear()
-        gc.collect()
-        if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
-            trim(0)
+        trim()
+
+
+def trim() -> None:
+    """Gives memory that this worker no longer uses back to the system: workers live on between stages."""
+    gc.collect()
+    if back := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        back(0)
 
 
 def _kind(described: dict) -> tuple[bool, bool]:
