@@ -52,7 +52,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of all documents with their ids, and their places in sequences of 2048 ids."""
     _short_batches(spark)
-    return packing.packed_texts(docs, tokens.path("word_bpe_49k.json"), remembered=400_000)
+    return packing.packed_texts(docs, tokens.path("word_bpe_49k.json"), remembered=200_000)
 
 
 STAGES = [("quality classifier", quality), ("line dedup", line_dedup), ("near dedup", near_dedup), ("mix sources", mix), ("pack", pack)]
