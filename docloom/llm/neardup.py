@@ -37,8 +37,10 @@ move about twice their members' bytes. Pairs of the last join grow with the squa
 rare shingle's list where its texts are alike, but not enough, and in different components.
 Buckets are counted with partial sums, lists are cut into parts of LIST_PART nodes, and
 stars are joined with adaptive skew splitting, so one bucket may hold any share of all
-rows. Nothing is broadcast but what Spark's own threshold allows, the bitmap, and
-MOST_COMMON counts of shingles, which only decide an order.
+rows. Nothing is broadcast but what Spark's own threshold allows, the bitmaps, and
+MOST_COMMON counts of shingles, which only decide an order. ``deduplicated`` decides by two
+bitmaps, of kept rows and of others; it shuffles those rows only whose bit is in both, and
+repeated ones: a share that grows with the rows over MARKS. It reads docs twice for that.
 """
 
 from __future__ import annotations
@@ -266,15 +268,33 @@ def components(edges: DataFrame) -> DataFrame:
     return known.select(F.col("a").alias("node"), F.col("b").alias("label")).unionByName(roots.select("node", F.col("node").alias("label")))
 
 
-def _marked(rows: DataFrame, keys: DataFrame) -> DataFrame:
-    """Rows whose number may be among those of the keys, by a bitmap of MARKS bits that goes to all tasks; few others, and none lost."""
-    bit = F.pmod("node", F.lit(MARKS))
+def _bit():
+    """The bit of a number, in a bitmap of MARKS bits."""
+    return F.pmod("node", F.lit(MARKS))
+
+
+def _maps(keys: DataFrame, **which) -> DataFrame:
+    """For each block of bits, a map of those numbers of the keys that each condition holds for; MARKS / 8 bytes each at most."""
+    bits = keys.select(_bit().alias("_bit"), *[c.alias(name) for name, c in which.items()])
+    bits = bits.select(F.bitmap_bucket_number("_bit").alias("_block"), F.bitmap_bit_position("_bit").alias("_at"), *which)
+    return scratch.written(bits.groupBy("_block").agg(*[F.bitmap_construct_agg(F.when(F.col(name), F.col("_at"))).alias(name) for name in which]), "near-marks")
+
+
+def _beside(rows: DataFrame, maps: DataFrame) -> DataFrame:
+    """Rows with the place of their bit and the maps of its block, which go to all tasks."""
+    return rows.withColumn("_block", F.bitmap_bucket_number(_bit())).withColumn("_bit", F.bitmap_bit_position(_bit())).join(F.broadcast(maps), "_block")
+
+
+def _is_in(name: str):
+    """Whether a row's bit is in a map."""
     byte, at = F.shiftright(F.col("_bit"), 3).cast("int"), F.col("_bit").bitwiseAND(F.lit(7)).cast("int")
-    bits = keys.select(bit.alias("_bit")).select(F.bitmap_bucket_number("_bit").alias("_block"), F.bitmap_bit_position("_bit").alias("_at"))
-    bits = scratch.written(bits.groupBy("_block").agg(F.bitmap_construct_agg("_at").alias("_map")), "near-marks")
-    met = rows.withColumn("_block", F.bitmap_bucket_number(bit)).withColumn("_bit", F.bitmap_bit_position(bit)).join(F.broadcast(bits), "_block")  # MARKS / 8 bytes at most
-    word = F.conv(F.hex(F.substring("_map", byte + 1, F.lit(1))), 16, 10).cast("int")
-    return met.where(F.call_function("getbit", word, at) == 1).select(*rows.columns)
+    word = F.conv(F.hex(F.substring(name, byte + 1, F.lit(1))), 16, 10).cast("int")
+    return F.call_function("getbit", word, at) == 1
+
+
+def _marked(rows: DataFrame, keys: DataFrame) -> DataFrame:
+    """Rows whose number may be among those of the keys, by a bitmap; few others, and none lost."""
+    return _beside(rows, _maps(keys, _map=F.lit(True))).where(_is_in("_map")).select(*rows.columns)
 
 
 def links(docs: DataFrame, feats: DataFrame, *, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
@@ -434,11 +454,12 @@ def clustered(docs: DataFrame, *, percent: int = PERCENT, id_col: str = "doc_id"
 
 def deduplicated(docs: DataFrame, *, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row of docs for each component: that of its least id (of rows repeated as a whole, one). Empty texts stay, one for each id."""
-    kept = clustered(docs, percent=percent, id_col=id_col, text_col=text_col).where("kept").groupBy("row_key").agg(F.count("*").alias("n"))
-    kept = scratch.written(kept, "near-kept")
-    at = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), _row_key(id_col, text_col).alias("key"))
-    once = at.join(kept.where("n = 1").select(F.col("row_key").alias("key")), "key", "left_semi")
-    again = kept.where("n > 1").select(F.col("row_key").alias("key"))
-    if again.take(1):
-        once = once.unionByName(at.join(again, "key", "left_semi").dropDuplicates(["key"]))
-    return once.select("row.*")
+    keys = clustered(docs, percent=percent, id_col=id_col, text_col=text_col).groupBy(F.col("row_key").alias("node")).agg(F.bool_or("kept").alias("kept"), F.count("*").alias("n"))
+    keys = scratch.written(keys, "near-kept")
+    # A bit of kept rows alone and one of others alone decide without a shuffle of rows; only rows whose bit is both, and repeated ones, are joined.
+    maps = _maps(keys, _kept=F.col("kept"), _open=~F.col("kept") | (F.col("n") > 1))
+    at = _beside(docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), _row_key(id_col, text_col).alias("node")), maps).where(_is_in("_kept"))
+    once = at.where(~_is_in("_open")).select("row")
+    # Not a semi-join: see links.
+    met = at.where(_is_in("_open")).select("row", "node").join(keys.where("kept").select("node"), "node").dropDuplicates(["node"])
+    return once.unionByName(met.select("row")).select("row.*")

@@ -152,6 +152,41 @@ def test_deduplicated_keeps_one_of_each(spark):
     assert sorted(i for i in ids if i is not None) == sorted(kept)
 
 
+def shuffled(spark):
+    """Bytes that each stage so far wrote for a shuffle."""
+    sc = spark.sparkContext
+    sc._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    seq = sc._jsc.sc().statusStore().stageList(None, False, False, sc._gateway.new_array(sc._jvm.double, 0), sc._jvm.java.util.ArrayList())
+    return {(x.stageId(), x.attemptId()): x.shuffleWriteBytes() for x in map(seq.apply, range(seq.size()))}
+
+
+def test_deduplicated_shuffles_no_text_without_need(spark):
+    """On tables beyond the broadcast threshold, texts that have no near copy stay where they are."""
+    g = random.Random(11)
+    rows = [(k, " ".join(f"{g.getrandbits(64):x}" for _ in range(1500))) for k in range(60)]
+    rows += [(100 + k, t + " end") for k, t in rows[:2]] + [(200, rows[9][1]), (5, rows[5][1])]
+    docs = documents(spark, rows)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        before = shuffled(spark)
+        ids = sorted(r.doc_id for r in neardup.deduplicated(docs).collect())
+        moved = sum(v for k, v in shuffled(spark).items() if k not in before)
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert ids == list(range(60))
+    assert moved < 0.3 * sum(len(t) for _, t in rows)
+
+
+@pytest.mark.parametrize("marks", [1, 64])
+def test_deduplicated_when_bits_are_shared(spark, marks, monkeypatch):
+    """Kept rows that share a bit with dropped ones, and repeated ones, are told apart exactly."""
+    monkeypatch.setattr(neardup, "MARKS", marks)
+    rows = grown() + [(300, "all alone here and now"), (301, "all alone here and now"), (301, "all alone here and now")]
+    ids = [r.doc_id for r in neardup.deduplicated(documents(spark, rows)).collect()]
+    kept = {i for i, _, _, k in plain(rows) if k}
+    assert len(ids) - ids.count(None) == len(set(ids) - {None}) and set(ids) == kept
+
+
 def test_empty_and_single(spark):
     assert neardup.clustered(documents(spark, [])).count() == 0
     assert neardup.deduplicated(documents(spark, [(1, "a b c d e f")])).count() == 1
